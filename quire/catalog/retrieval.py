@@ -1 +1,269 @@
-"""Registered queries."""
+"""BM25, vector search, fusion, hybrid search, answer context.
+
+Benchmark passages are the queries; documents are the chunks.  The embedding with
+the id of a passage or document stands for its vector.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.catalog import views as v
+from quire.catalog.registry import query
+from quire.operators import bm25, fusion, vectors
+from quire.plans import answers
+from quire.plans.search import SearchConfig, hybrid_search as fused_search, search
+
+
+def chunks(spark, d):
+    return v.table(spark, d, "documents").select(
+        F.col("doc_id").alias("chunk_id"),
+        F.col("text").alias("chunk_text"),
+        F.col("source").alias("paper_id"),
+        F.concat(F.lit("Collection "), "source").alias("title"),
+        F.when(F.col("lang") != "es", F.col("lang")).alias("venue"),
+        (F.lit(2000) + F.col("doc_id") % 20).cast("int").alias("year"),
+    )
+
+
+def embeddings(spark, d):
+    return v.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+
+
+def questions(spark, d):
+    vec = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    return (
+        v.table(spark, d, "benchmark")
+        .join(vec, "item_id")
+        .select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "embedding")
+    )
+
+
+def index(spark, d):
+    return bm25.build_index(chunks(spark, d))
+
+
+BM25_CTES = r"""
+  tok AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '\p{L}+') AS t FROM documents),
+  tot AS (SELECT count(*) AS n, sum(len(t)) / count(*)::DOUBLE AS avgdl FROM tok),
+  post AS (SELECT chunk_id, dl, term, count(*) AS tf
+           FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
+  voc AS (SELECT term, df, ln((SELECT n FROM tot) - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw
+          FROM (SELECT term, count(*) AS df FROM post GROUP BY term)),
+  idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM voc) ELSE raw END AS idf FROM voc),
+  qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (
+           SELECT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM benchmark) GROUP BY ALL),
+  bm AS (SELECT query_id, chunk_id, sum(qtf * idf * tf * 2.5::DOUBLE
+              / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avgdl FROM tot)))) AS score
+         FROM qt JOIN idf USING (term) JOIN post USING (term) GROUP BY ALL),
+  bmr AS (SELECT query_id, chunk_id, score, row_number() OVER (
+            PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm WHERE score > 0)"""
+
+VEC_CTES = """
+  vq AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
+  vs AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(q, e)
+           / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(e, e))) AS score
+         FROM vq, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+  vr AS (SELECT query_id, chunk_id, score, row_number() OVER (
+            PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM vs)"""
+
+
+def fused_ctes(name: str, bm25_weight: int, vector_weight: int, fetch: int, k: int) -> str:
+    lists = []
+    if bm25_weight:
+        lists.append(f"SELECT query_id, chunk_id, rank, 0 AS l, {bm25_weight} AS w FROM bmr WHERE rank <= {fetch}")
+    if vector_weight:
+        lists.append(f"SELECT query_id, chunk_id, rank, 1 AS l, {vector_weight} AS w FROM vr WHERE rank <= {fetch}")
+    return f"""
+  {name}_f AS (SELECT query_id, chunk_id, sum(w / (60.0::DOUBLE + rank)) AS rrf_score, min(l * 1000000 + rank) AS seen
+         FROM ({' UNION ALL '.join(lists)}) GROUP BY ALL),
+  {name} AS (SELECT * FROM (SELECT query_id, chunk_id, rrf_score, row_number() OVER (
+            PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, seen, chunk_id) AS rank FROM {name}_f) WHERE rank <= {k})"""
+
+
+HYBRID_CTES = "WITH " + BM25_CTES + "," + VEC_CTES + "," + fused_ctes("hy", 1, 1, 150, 50)
+
+RESULTS_CTES = (
+    HYBRID_CTES
+    + """,
+  res AS (SELECT * FROM (SELECT query_id, chunk_id, rrf_score, row_number() OVER (
+            PARTITION BY query_id ORDER BY rank) AS rank, source AS paper_id, text AS chunk_text,
+            CASE WHEN lang <> 'es' THEN lang END AS venue, CAST(2000 + doc_id % 20 AS INTEGER) AS year,
+            'Collection ' || source AS title
+          FROM hy JOIN documents ON doc_id = chunk_id) WHERE rank <= 20)"""
+)
+
+
+@query("bm25_vocabulary", "WITH " + BM25_CTES + " SELECT term, df, round(idf, 6) AS idf FROM idf")
+def bm25_vocabulary(spark, d):
+    return index(spark, d).vocabulary.withColumn("idf", F.round("idf", 6))
+
+
+@query(
+    "bm25_totals", "WITH " + BM25_CTES + " SELECT n AS chunks, round(avgdl, 6) AS avg_length FROM tot"
+)
+def bm25_totals(spark, d):
+    return index(spark, d).totals.withColumn("avg_length", F.round("avg_length", 6))
+
+
+@query(
+    "bm25_search",
+    "WITH " + BM25_CTES + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 50",
+)
+def bm25_search(spark, d):
+    queries = questions(spark, d).select("query_id", "query_text")
+    return bm25.search(index(spark, d), queries, 50).withColumns(
+        {"score": F.round("score", 6), "rank": F.col("rank").cast("long")}
+    )
+
+
+@query(
+    "vector_search",
+    "WITH " + VEC_CTES + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM vr WHERE rank <= 50",
+)
+def vector_search(spark, d):
+    found = vectors.search(embeddings(spark, d), questions(spark, d), 50)
+    return found.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+
+
+@query(
+    "vector_search_filtered",
+    "WITH "
+    + VEC_CTES.replace("FROM embeddings))", "FROM embeddings WHERE label >= 2 AND label <= 6 AND label <> 4))")
+    + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM vr WHERE rank <= 20",
+)
+def vector_search_filtered(spark, d):
+    where = {"$and": [{"label": {"$gte": 2}}, {"label": {"$lte": 6}}, {"label": {"$ne": 4}}]}
+    found = vectors.search(embeddings(spark, d), questions(spark, d), 20, where)
+    return found.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+
+
+def _fused(frame):
+    return frame.select("query_id", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"), F.col("rank").cast("long"))
+
+
+@query(
+    "rrf_fusion", HYBRID_CTES + " SELECT query_id, chunk_id, round(rrf_score, 6) AS rrf_score, rank FROM hy"
+)
+def rrf_fusion(spark, d):
+    return _fused(fused_search(index(spark, d), embeddings(spark, d), questions(spark, d)))
+
+
+@query(
+    "weighted_rrf",
+    "WITH " + BM25_CTES + "," + VEC_CTES + "," + fused_ctes("hy", 3, 1, 60, 20)
+    + " SELECT query_id, chunk_id, round(rrf_score, 6) AS rrf_score, rank FROM hy",
+)
+def weighted_rrf(spark, d):
+    config = SearchConfig(bm25_weight=3, hybrid_top_k=20)
+    return _fused(fused_search(index(spark, d), embeddings(spark, d), questions(spark, d), config))
+
+
+@query(
+    "vector_only_rrf",
+    "WITH " + VEC_CTES + "," + fused_ctes("hy", 0, 1, 150, 50)
+    + " SELECT query_id, chunk_id, round(rrf_score, 6) AS rrf_score, rank FROM hy",
+)
+def vector_only_rrf(spark, d):
+    config = SearchConfig(bm25_weight=0)
+    return _fused(fused_search(index(spark, d), embeddings(spark, d), questions(spark, d), config))
+
+
+def results(spark, d, scorer=None):
+    return search(index(spark, d), embeddings(spark, d), chunks(spark, d), questions(spark, d), scorer=scorer)
+
+
+@query(
+    "hybrid_search",
+    RESULTS_CTES
+    + """ SELECT query_id, chunk_id, paper_id, title, venue, year, round(rrf_score, 6) AS rrf_score, rank,
+          length(chunk_text) AS chars FROM res""",
+)
+def hybrid_search(spark, d):
+    return results(spark, d).select(
+        "query_id",
+        "chunk_id",
+        "paper_id",
+        "title",
+        "venue",
+        "year",
+        F.round("rrf_score", 6).alias("rrf_score"),
+        F.col("rank").cast("long"),
+        F.length("chunk_text").cast("long").alias("chars"),
+    )
+
+
+RERANK_CTES = (
+    HYBRID_CTES
+    + r""",
+  cand AS (SELECT hy.*, source AS paper_id, d.text AS chunk_text,
+             list_distinct(regexp_extract_all(lower(b.text), '\p{L}+')) AS q,
+             regexp_extract_all(lower(d.text), '\p{L}+') AS t
+           FROM hy JOIN documents d ON d.doc_id = chunk_id JOIN benchmark b ON b.item_id = query_id),
+  rr AS (SELECT * FROM (SELECT query_id, chunk_id, paper_id, ce_score, row_number() OVER (
+           PARTITION BY query_id ORDER BY ce_score DESC, rank) AS rank
+         FROM (SELECT *, len(list_intersect(q, t)) / len(q)::DOUBLE AS ce_score FROM cand)) WHERE rank <= 20)"""
+)
+
+
+@query(
+    "reranked_search",
+    RERANK_CTES + " SELECT query_id, chunk_id, paper_id, round(ce_score, 6) AS ce_score, rank FROM rr",
+)
+def reranked_search(spark, d):
+    return results(spark, d, fusion.term_overlap).select(
+        "query_id", "chunk_id", "paper_id", F.round("ce_score", 6).alias("ce_score"), F.col("rank").cast("long")
+    )
+
+
+@query(
+    "rag_sources",
+    RESULTS_CTES
+    + """ SELECT query_id, paper_id, title, CAST(rank AS BIGINT) AS rank, used AS used_in_answer FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id, paper_id ORDER BY rank) AS n,
+                   bool_or(rank <= 5) OVER (PARTITION BY query_id, paper_id) AS used FROM res) WHERE n = 1""",
+)
+def rag_sources(spark, d):
+    found = fusion.sources(results(spark, d))
+    return found.select("query_id", "paper_id", "title", F.col("rank").cast("long"), "used_in_answer")
+
+
+@query(
+    "rag_sources_cited",
+    RESULTS_CTES + " SELECT DISTINCT query_id, paper_id FROM res WHERE rank <= 5",
+)
+def rag_sources_cited(spark, d):
+    return fusion.cited(fusion.sources(results(spark, d))).select("query_id", "paper_id")
+
+
+@query(
+    "rag_sources_also_relevant",
+    RESULTS_CTES
+    + """ SELECT DISTINCT query_id, paper_id FROM res r WHERE NOT EXISTS (
+            SELECT 1 FROM res s WHERE s.query_id = r.query_id AND s.paper_id = r.paper_id AND s.rank <= 5)""",
+)
+def rag_sources_also_relevant(spark, d):
+    return fusion.also_relevant(fusion.sources(results(spark, d))).select("query_id", "paper_id")
+
+
+@query(
+    "rag_prompt",
+    RESULTS_CTES
+    + """, ctx AS (SELECT query_id, string_agg('[' || rank || '] "' || title || '" (' || coalesce(venue, 'unknown venue')
+             || ', ' || year || ')' || chr(10) || chunk_text, chr(10) || chr(10) || '---' || chr(10) || chr(10)
+             ORDER BY rank) AS c FROM res WHERE rank <= 5 GROUP BY query_id)
+         SELECT item_id AS query_id, length(c) AS context_chars,
+           md5('Below are excerpts from relevant research papers.' || chr(10) || chr(10)
+           || coalesce(c, 'No relevant papers found.') || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+           || 'Based on the above excerpts, answer the following question. '
+           || 'Cite papers by their number (e.g., [1], [2]) when referencing specific findings.'
+           || chr(10) || chr(10) || 'Question: ' || text) AS prompt_digest
+         FROM benchmark LEFT JOIN ctx ON query_id = item_id""",
+)
+def rag_prompt(spark, d):
+    asked = answers.context_blocks(results(spark, d), questions(spark, d))
+    return asked.select(
+        "query_id",
+        F.length("context").cast("long").alias("context_chars"),
+        F.md5(answers.prompt(F.col("query_text"), F.col("context"))).alias("prompt_digest"),
+    )
