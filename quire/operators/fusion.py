@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,14 +31,22 @@ def fuse(lists: list[tuple[DataFrame, int]], k: int | None = None, rrf_k: int =
     ]
     if not parts:
         raise ValueError("at least one list needs a positive weight")
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    fused = rows.groupBy("query_id", "chunk_id").agg(
-        F.sum(F.col("list_weight") / (F.lit(float(rrf_k)) + F.col("rank"))).alias("rrf_score"),
-        F.min(F.struct("list_no", "rank")).alias("first_seen"),
+    return fuse_rows(reduce(DataFrame.unionByName, parts), k, rrf_k)
+
+
+def fuse_rows(
+    rows: DataFrame, k: int | None = None, rrf_k: int = RRF_K, keys: tuple[str, ...] = ("query_id",)
+) -> DataFrame:
+    """The same for rows (keys, chunk_id, rank, list_no, list_weight) of all lists."""
+    fused = (
+        rows.filter(F.col("list_weight") > 0)
+        .groupBy(*keys, "chunk_id")
+        .agg(
+            F.sum(F.col("list_weight") / (F.lit(float(rrf_k)) + F.col("rank"))).alias("rrf_score"),
+            F.min(F.struct("list_no", "rank")).alias("first_seen"),
+        )
     )
-    order = Window.partitionBy("query_id").orderBy(F.round("rrf_score", 12).desc(), "first_seen", "chunk_id")
+    order = Window.partitionBy(*keys).orderBy(F.round("rrf_score", 12).desc(), "first_seen", "chunk_id")
     ranked = fused.withColumn("rank", F.row_number().over(order)).drop("first_seen")
     return ranked.filter(F.col("rank") <= k) if k is not None else ranked
 
