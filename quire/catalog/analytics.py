@@ -295,11 +295,13 @@ def paper_details(spark, d):
 
 @query(
     "paper_lookup",
-    "SELECT id, title, year, venue FROM papers WHERE id IN ('orders::1', 'orders::7', 'orders::none')",
-    ("papers",),
+    """SELECT id, title, year, venue FROM papers WHERE id IN (
+         SELECT paper_id FROM methods WHERE name = 'Brand#7')""",
+    ("papers", "methods"),
 )
 def paper_lookup(spark, d):
-    found = browse.papers_by_ids(v.papers(spark, d), ["orders::1", "orders::7", "orders::none"])
+    wanted = v.entity(spark, d, "methods").filter(F.col("name") == "Brand#7").select(F.col("paper_id").alias("id"))
+    found = browse.papers_by_ids(v.papers(spark, d), wanted)
     return found.select("id", "title", "year", "venue")
 
 

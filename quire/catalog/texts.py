@@ -141,11 +141,11 @@ def token_stats(spark, d):
     "full_text_stats",
     """SELECT count(*) AS papers, count(*) FILTER (full_text <> '') AS with_full_text,
        round(avg(length(full_text)) FILTER (full_text <> ''), 6) AS avg_chars
-       FROM (SELECT CASE WHEN lang <> 'es' THEN full_text WHEN doc_id % 2 = 0 THEN '' END AS full_text FROM docs)""",
+       FROM (SELECT CASE WHEN lang <> 'es' THEN full_text WHEN source < 'src2' THEN '' END AS full_text FROM docs)""",
     ("docs",),
 )
 def full_text_stats(spark, d):
-    known = F.when(F.col("lang") != "es", F.col("full_text")).when(F.col("doc_id") % 2 == 0, F.lit(""))
+    known = F.when(F.col("lang") != "es", F.col("full_text")).when(F.col("source") < "src2", F.lit(""))
     return counts.full_text_stats(v.docs(spark, d).withColumn("full_text", known)).withColumn(
         "avg_chars", F.round("avg_chars", 6)
     )

@@ -65,7 +65,10 @@ def paper_by_id(papers: DataFrame, paper_id: str) -> DataFrame:
     return papers.filter(F.col("id") == paper_id)
 
 
-def papers_by_ids(papers: DataFrame, paper_ids: list[str]) -> DataFrame:
+def papers_by_ids(papers: DataFrame, paper_ids: list[str] | DataFrame) -> DataFrame:
+    """Papers of a short list of ids, or of a frame with ``id``."""
+    if isinstance(paper_ids, DataFrame):
+        return papers.join(paper_ids.select("id"), "id", "left_semi")
     return papers.filter(F.col("id").isin(paper_ids))
 
 
