@@ -1,0 +1,21 @@
+"""Settings of a deployment, from environment variables with defaults."""
+
+from __future__ import annotations
+
+import os
+from dataclasses import dataclass, field
+
+from quire.plans.search import SearchConfig
+
+
+@dataclass(frozen=True)
+class Settings:
+    data_root: str = field(default_factory=lambda: os.environ.get("QUIRE_DATA", "data"))
+    snapshot_root: str = field(default_factory=lambda: os.environ.get("QUIRE_SNAPSHOT", ""))
+    chunking: str = field(default_factory=lambda: os.environ.get("QUIRE_CHUNKING", "fixed"))
+    analyzer: str = field(default_factory=lambda: os.environ.get("QUIRE_ANALYZER", "letters"))
+    search: SearchConfig = field(default_factory=SearchConfig)
+
+    @property
+    def index_path(self) -> str:
+        return f"{self.data_root}/bm25_index"
