@@ -8,7 +8,7 @@ papers with text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,9 +35,7 @@ def papers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _per_order(lines: DataFrame, name: str) -> DataFrame:
-    """Distinct (paper_id, name); the distinct runs on the numeric key."""
-    once = lines.select("l_orderkey", F.col(name).alias("name")).distinct()
-    return once.select(_order_id("l_orderkey").alias("paper_id"), "name")
+    return lines.select(_order_id("l_orderkey").alias("paper_id"), F.col(name).alias("name")).distinct()
 
 
 def _with_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,8 +50,6 @@ def _with_suppliers(spark: SparkSession, folder: str) -> DataFrame:
 
 def authors(spark: SparkSession, folder: str) -> DataFrame:
     once = _per_order(_with_suppliers(spark, folder), "s_name")
-    from pyspark.sql import Window
-
     position = F.row_number().over(Window.partitionBy("paper_id").orderBy("name")) - 1
     return once.withColumn("position", position.cast("int"))
 

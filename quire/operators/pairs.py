@@ -20,8 +20,11 @@ SEED_NAMES = 32
 def _multiplicity(rows: DataFrame) -> DataFrame:
     """(paper_id, name, mult): duplicates are counted once before any join.
 
-    Grouping by both columns spreads a hot paper over the tasks.
+    Grouping by both columns spreads a hot paper over the tasks.  The explicit
+    filter is the one the joins imply; with it every use has the same plan, and
+    the shuffle is made once.
     """
+    rows = rows.filter(F.col("paper_id").isNotNull() & F.col("name").isNotNull())
     return rows.groupBy("paper_id", "name").agg(F.count("*").alias("mult"))
 
 
@@ -45,8 +48,11 @@ def top_pairs(left: DataFrame, right: DataFrame, top_n: int, condition: Column |
     def seeds(support: DataFrame) -> DataFrame:
         return support.orderBy(F.desc("support"), "name").limit(SEED_NAMES).select("name")
 
+    # Names are unique here, so these inner joins only filter.  Catalyst would push
+    # a semi-join below the grouping of ``side``, which must stay the same in all
+    # places for its shuffle to be reused.
     def only(side: DataFrame, names: DataFrame) -> DataFrame:
-        return side.join(F.broadcast(names), "name", "left_semi")
+        return side.join(F.broadcast(names), "name")
 
     seed_pairs = _pair_counts(only(left, seeds(left_support)), only(right, seeds(right_support)), condition)
     best = seed_pairs.orderBy(F.desc("pairs")).limit(top_n)
@@ -56,7 +62,7 @@ def top_pairs(left: DataFrame, right: DataFrame, top_n: int, condition: Column |
     def reachable(side: DataFrame, support: DataFrame, other: DataFrame) -> DataFrame:
         bound = F.col("support") * other.agg(F.max("max_mult")).scalar()
         names = support.filter(bound >= floor.scalar()).select("name")
-        return side.join(names, "name", "left_semi")
+        return side.join(names, "name")
 
     pairs = _pair_counts(
         reachable(left, left_support, right_support), reachable(right, right_support, left_support), condition
@@ -76,7 +82,7 @@ def entity_cooccurrence(entities: DataFrame, left_kind: str, right_kind: str, to
 
 def author_pairs(authors: DataFrame, top_n: int = 20) -> DataFrame:
     """Author pairs with the most shared papers; a repeated name counts once per paper."""
-    once = authors.select("paper_id", "name").distinct().withColumn("mult", F.lit(1).cast("long"))
+    once = _multiplicity(authors).withColumn("mult", F.lit(1).cast("long"))
     return top_pairs(once, once, top_n, F.col("a") < F.col("b")).select(
         F.col("a").alias("author_a"), F.col("b").alias("author_b"), F.col("pairs").alias("shared_papers")
     )
