@@ -24,6 +24,7 @@ from quire.catalog.retrieval import (
 from quire.functions.text import words
 from quire.operators import bm25, metrics, pooling, vectors
 from quire.plans import evaluation
+from quire.session import spread
 from quire.plans.search import SearchConfig, hybrid_search as fused_search
 
 K_VALUES = metrics.K_VALUES
@@ -35,7 +36,7 @@ def relevant(spark, d):
     The rarest inner word of a passage leads to its few candidates by an
     equi-join; only those are compared as texts.
     """
-    documents = v.table(spark, d, "documents").select("doc_id", "text")
+    documents = spread(v.table(spark, d, "documents").select("doc_id", "text"))
     passages = v.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
     tokens = words(F.col("passage"))
     inner = F.array_distinct(F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))))

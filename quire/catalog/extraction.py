@@ -15,6 +15,7 @@ from quire.functions.model_output import parse_extraction
 from quire.functions.text import word_terms
 from quire.operators import gazetteer
 from quire.plans import enrichment
+from quire.session import spread
 
 KINDS = ["method", "dataset", "task", "topic"]
 LEXICON_SIZE = 300
@@ -32,7 +33,7 @@ LEXICON_CTES = f"""
 
 def data_lexicon(spark, d) -> list[tuple[str, str]]:
     """At most LEXICON_SIZE (entity_type, name) pairs, best first."""
-    documents = v.table(spark, d, "documents")
+    documents = spread(v.table(spark, d, "documents").select("text"))
     terms = documents.select(F.explode(F.array_distinct(word_terms(F.col("text")))).alias("term"))
     limit = documents.select(F.count("*") * F.lit(0.06)).scalar()
     top = (

@@ -9,6 +9,7 @@ from quire.catalog.registry import query
 from quire.functions import ids, text
 from quire.operators import counts
 from quire.operators.chunking import chunk_papers
+from quire.session import spread
 
 # Whitespace as the operators see it; the texts hold no exotic spaces.
 WORDS_SQL = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')"
@@ -157,7 +158,7 @@ def full_text_stats(spark, d):
         GROUP BY term""",
 )
 def term_counts(spark, d):
-    terms = v.table(spark, d, "documents").select(F.explode(text.letter_terms(F.col("text"))).alias("term"))
+    terms = spread(v.table(spark, d, "documents").select("text")).select(F.explode(text.letter_terms(F.col("text"))).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("n"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import ANALYZERS
-from quire.session import is_small
+from quire.session import hold_if_small, is_small, spread
 
 # Scores are ranked on this many decimals, so that the order of a floating-point
 # sum never decides between equal chunks.
@@ -45,9 +45,8 @@ def build_index(
     are made distinct inside the row, and the counts combine before the shuffle,
     so a term that occurs in every chunk costs no more than any other.
     """
-    analyzed = chunks.select(
-        F.col(id_column).alias("chunk_id"), ANALYZERS[analyzer](F.coalesce(text_column, F.lit(""))).alias("terms")
-    )
+    texts = spread(chunks.select(F.col(id_column).alias("chunk_id"), F.coalesce(text_column, F.lit("")).alias("text")))
+    analyzed = texts.select("chunk_id", ANALYZERS[analyzer](F.col("text")).alias("terms"))
     occurrences = analyzed.select(
         "chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term")
     ).withColumn("tf", F.lit(1).cast("long"))
@@ -121,8 +120,10 @@ def score(index: Bm25Index, queries: DataFrame) -> DataFrame:
     hashed by chunk once.  With the query weights broadcast, the term counts, the
     scores and the first cut of the top-k all run inside those partitions.
     """
+    queries = hold_if_small(queries.select("query_id", "query_text"))
+    # There are at most as many terms as bytes of query text.
+    small = is_small(queries)
     terms = query_terms(queries, index.analyzer)
-    small = is_small(terms)
     wanted = terms.select("term").distinct()
     hits = (
         index.occurrences.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
@@ -137,7 +138,6 @@ def score(index: Bm25Index, queries: DataFrame) -> DataFrame:
     weights = terms.join(index.vocabulary.select("term", "idf"), "term").select(
         "query_id", "term", (F.col("qtf") * F.col("idf")).alias("query_weight")
     )
-    # Never more rows than ``terms``, whose size is the cheap one to measure.
     if small:
         weights = F.broadcast(weights)
     return (

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import NON_SPACE, estimate_tokens, has_text, is_blank, strip, word_count, words
+from quire.session import spread
 
 WORDS_PER_TOKEN = 1.3
 CHUNK_TYPE = "array<struct<chunk_text:string,chunk_type:string>>"
@@ -139,7 +140,8 @@ def chunk_papers(papers: DataFrame, strategy: str = "abstract", **options: int)
         raise ValueError(f"unknown strategy {strategy!r}, use one of {sorted(STRATEGIES)}")
     pieces = STRATEGIES[strategy](F.col("abstract"), F.col("full_text"), **options)
     return (
-        papers.select(F.col("id").alias("paper_id"), F.posexplode(pieces).alias("chunk_index", "piece"))
+        spread(papers.select("id", "abstract", "full_text"))
+        .select(F.col("id").alias("paper_id"), F.posexplode(pieces).alias("chunk_index", "piece"))
         .select("paper_id", "chunk_index", "piece.chunk_text", "piece.chunk_type")
         .withColumn("token_count", estimate_tokens(word_count(F.col("chunk_text"))))
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import WORD_CHAR
 from quire.operators.lexicon import default_lexicon
-from quire.session import is_small
+from quire.session import is_small, spread
 
 MAX_PATTERN_NAMES = 5_000
 ENTRY_TYPE = "array<struct<ord:int,entity_type:string,name:string>>"
@@ -77,8 +77,9 @@ def find_entities(text: Column, lexicon: list[tuple[str, str]] | None = None) ->
 
 def extract(papers: DataFrame, text: Column, lexicon: list[tuple[str, str]] | None = None) -> DataFrame:
     """(paper_id, ord, entity_type, name) of papers with ``id``."""
-    found = F.explode(find_entities(text, lexicon)).alias("e")
-    return papers.select(F.col("id").alias("paper_id"), found).select("paper_id", "e.ord", "e.entity_type", "e.name")
+    texts = spread(papers.select(F.col("id").alias("paper_id"), text.alias("text")))
+    found = F.explode(find_entities(F.col("text"), lexicon)).alias("e")
+    return texts.select("paper_id", found).select("paper_id", "e.ord", "e.entity_type", "e.name")
 
 
 def join_lexicon(papers: DataFrame, text: Column, lexicon: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def join_lexicon(papers: DataFrame, text: Column, lexicon: DataFrame) -> DataFra
     names = lexicon.withColumn("key", F.lower("name"))
     parts_of_key = F.size(F.regexp_extract_all(F.col("key"), F.lit(run), F.lit(0)))
     lengths = sorted(r[0] for r in names.select(parts_of_key).distinct().collect())
-    parts = F.regexp_extract_all(F.lower(text), F.lit(run), F.lit(0))
+    parts = F.regexp_extract_all(F.lower("text"), F.lit(run), F.lit(0))
 
     def runs_of(tokens: Column, length: int) -> Column:
         if length == 1:
@@ -103,9 +104,8 @@ def join_lexicon(papers: DataFrame, text: Column, lexicon: DataFrame) -> DataFra
     def runs(tokens: Column) -> Column:
         return F.array_distinct(F.flatten(F.array(*[runs_of(tokens, n) for n in lengths])))
 
-    exploded = papers.select(
-        F.col("id").alias("paper_id"), F.explode(F.flatten(F.transform(F.array(parts), runs))).alias("key")
-    )
+    texts = spread(papers.select(F.col("id").alias("paper_id"), text.alias("text")))
+    exploded = texts.select("paper_id", F.explode(F.flatten(F.transform(F.array(parts), runs))).alias("key"))
     if is_small(names):
         names = F.broadcast(names)
     found = exploded.join(names, "key").groupBy("paper_id", "entity_type", "key")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import bm25, fusion, vectors
 from quire.operators.bm25 import Bm25Index
-from quire.session import MAX_SMALL_ROWS, is_small
+from quire.session import MAX_SMALL_ROWS, hold_if_small, is_small, spread
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,7 @@ def hybrid_search(
     metadata: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, rrf_score, rank) of ``queries`` (query_id, query_text, embedding)."""
+    queries = hold_if_small(queries.select("query_id", "query_text", "embedding"))
     lists = candidate_lists(index, embeddings, queries, config, where, metadata)
     return fusion.fuse(lists, config.hybrid_top_k, config.rrf_k)
 
@@ -73,7 +74,7 @@ def attach_chunks(ranked: DataFrame, chunks: DataFrame, queries: DataFrame, per_
     """
     if is_small(queries.select("query_id"), max_rows=MAX_SMALL_ROWS // per_query):
         ranked = F.broadcast(ranked)
-    return fusion.resolve(ranked, chunks)
+    return fusion.resolve(ranked, spread(chunks))
 
 
 def search(
@@ -93,6 +94,7 @@ def search(
     reranker switched off, the fused order stands.
     """
     k = top_k or config.rerank_top_k
+    queries = hold_if_small(queries.select("query_id", "query_text", "embedding"))
     ranked = hybrid_search(index, embeddings, queries, config, where, metadata)
     found = attach_chunks(ranked, chunks, queries, config.hybrid_top_k)
     if scorer is not None and config.use_reranker:

@@ -55,6 +55,9 @@ def is_small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS, max_bytes: int = MAX
 
     Reads at most ``max_rows + 1`` rows.
     """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.nodeName() == "LocalRelation":
+        return plan.data().size() <= max_rows
     width = F.lit(0)
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
@@ -67,6 +70,33 @@ def is_small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS, max_bytes: int = MAX
     return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 
+def hold_if_small(df: DataFrame, **limits: int) -> DataFrame:
+    """A copy of ``df`` that later plans share, when it is measured to fit, else ``df``.
+
+    Serves request-sized input, such as the queries of a search, that a plan uses
+    in several places.
+    """
+    if df._jdf.queryExecution().optimizedPlan().nodeName() == "LocalRelation" or not is_small(df, **limits):
+        return df
+    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
+
+
 def broadcast_if_small(df: DataFrame, **limits: int) -> DataFrame:
     """``df`` with a broadcast hint when it is measured to fit, else unchanged."""
     return F.broadcast(df) if is_small(df, **limits) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Partitions for all cores before row-wise heavy work on a small input.
+
+    Files below one split per core are read by few tasks; the planner's size of
+    the input decides, without a job.  Large inputs have enough splits of their
+    own and stay as they are.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")
+    ))
+    return df.repartition(cores) if size < cores * split else df
