@@ -47,30 +47,37 @@ def build_index(
     """
     texts = spread(chunks.select(F.col(id_column).alias("chunk_id"), F.coalesce(text_column, F.lit("")).alias("text")))
     analyzed = texts.select("chunk_id", ANALYZERS[analyzer](F.col("text")).alias("terms"))
+    # The outer form: for the plain one Spark would add a filter on the size of the
+    # array below, and so analyze every text twice.
     occurrences = analyzed.select(
-        "chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term")
+        "chunk_id", F.size("terms").alias("length"), F.explode_outer("terms").alias("term")
     ).withColumn("tf", F.lit(1).cast("long"))
 
     # The first row of every chunk also carries the chunk and its length, which
     # yields the corpus totals without a second pass.  A chunk without terms
-    # gives a row with a null term.
+    # gives a row with an empty term.
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     counts = (
         analyzed.select(F.size("terms").alias("length"), F.posexplode_outer(F.array_distinct("terms")).alias("pos", "term"))
-        .groupBy("term")
+        .groupBy(F.coalesce("term", F.lit("")).alias("term"))
         .agg(
             F.count("*").alias("df"),
             F.count_if(first).alias("chunks"),
             F.sum(F.when(first, F.col("length")).otherwise(0)).alias("length"),
         )
     )
+    # Totals, mean and vocabulary read the same shuffle.  These conditions keep it
+    # the same: they use every column and cannot move below the grouping.
+    counts = counts.filter((F.col("df") > 0) & (F.col("chunks") >= 0) & (F.col("length") >= 0))
+    is_term = F.when(F.col("term") != "", F.col("df")).otherwise(0) > 0
+
     totals = counts.agg(
         F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"),
         F.try_divide(F.sum("length"), F.sum("chunks")).alias("avg_length"),
     )
     n = totals.select("chunks").scalar()
     plain_idf = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = counts.filter(F.col("term").isNotNull()).select("term", "df", plain_idf.alias("plain_idf"))
+    terms = counts.filter(is_term).select("term", "df", plain_idf.alias("plain_idf"))
     # Terms in more than half of the chunks get a share of the mean instead of a
     # negative weight.
     floor = F.lit(epsilon) * terms.select(F.avg("plain_idf")).scalar()
@@ -85,7 +92,7 @@ def write_index(index: Bm25Index, path: str) -> None:
     The cluster key also takes the chunk: a term in every chunk is spread over
     the files instead of filling one.
     """
-    postings = index.occurrences.groupBy("term", "chunk_id", "length").agg(F.sum("tf").alias("tf"))
+    postings = index.occurrences.filter("term IS NOT NULL").groupBy("term", "chunk_id", "length").agg(F.sum("tf").alias("tf"))
     postings.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
     index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
     settings = index.totals.withColumns(
