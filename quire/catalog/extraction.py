@@ -255,3 +255,34 @@ def incremental_enrichment(spark, d):
 def enrichment_run_stats(spark, d):
     work = worklist(spark, d)
     return enrichment.run_stats(work, enrichment.enrich(work, data_lexicon(spark, d)))
+
+
+class TitleBackend:
+    """Stands for a language model: names the title as a method, or gives no JSON."""
+
+    name = "title"
+
+    def is_available(self):
+        return True
+
+    def generate(self, prompt, system_prompt=None, max_tokens=512, temperature=0.0):
+        from quire.plans.answers import Generation
+
+        title = prompt.split("Title: ")[1].split("\n")[0]
+        reply = f'{{"methods": [{{"method_name": "{title}", "method_type": "technique"}}]}}'
+        return Generation(reply if "bolt" not in title else "I do not know.", self.name)
+
+
+@query(
+    "model_enrichment",
+    """SELECT p_partkey::VARCHAR AS paper_id, 'method' AS entity_type, p_name AS name, 'technique' AS attr
+       FROM part WHERE p_name NOT LIKE '%bolt%'
+       UNION ALL SELECT p_partkey::VARCHAR, 'task', 'machine translation', NULL FROM part""",
+)
+def model_enrichment(spark, d):
+    todo = v.table(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("id"),
+        F.col("p_name").alias("title"),
+        F.concat("p_type", F.lit(" machine translation")).alias("abstract"),
+    )
+    return enrichment.enrich(todo, model_answers=enrichment.ask_model(todo, TitleBackend()))
