@@ -147,7 +147,7 @@ def chunk_papers(papers: DataFrame, strategy: str = "abstract", **options: int)
     )
 
 
-def number_chunks(chunks: DataFrame, buckets: int = 1024) -> DataFrame:
+def number_chunks(chunks: DataFrame, buckets: int = 65_536) -> DataFrame:
     """Dense numeric ids that depend on the data alone, not on its partitioning.
 
     Papers are spread over hash buckets, rows are numbered inside each bucket in

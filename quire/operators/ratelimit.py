@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,17 +34,38 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, ts.cast("timestamp_ntz"))
 
 
-def decide(times: Iterator[int], log: deque, max_requests: int, window: int) -> Iterator[tuple[bool, int | None]]:
-    """Admitted flag and seconds to wait for ascending ``times``; ``log`` holds
-    the admitted times of the window and never exceeds ``max_requests``."""
-    for now in times:
+def decide(times: np.ndarray, log: deque, max_requests: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Admitted flags and seconds to wait (0 if admitted) for ascending ``times``.
+
+    ``log`` holds the admitted times of the window, at most ``max_requests``, and
+    is carried on.  When it is full, everything up to the moment its oldest entry
+    expires is rejected at once, so a flood costs steps per admission, not per
+    request.
+    """
+    admitted = np.zeros(len(times), dtype=bool)
+    retry_after = np.zeros(len(times), dtype=np.int64)
+    i = 0
+    while i < len(times):
+        now = int(times[i])
         while log and log[0] <= now - window:
             log.popleft()
-        if len(log) >= max_requests:
-            yield False, (window - (now - log[0])) // 1_000_000 + 1
-        else:
+        if len(log) < max_requests:
+            admitted[i] = True
             log.append(now)
-            yield True, None
+            i += 1
+            continue
+        end = int(np.searchsorted(times, log[0] + window, side="left"))
+        retry_after[i:end] = (window - (times[i:end] - log[0])) // 1_000_000 + 1
+        i = end
+    return admitted, retry_after
+
+
+def decided(rows: pd.DataFrame, admitted: np.ndarray, retry_after: np.ndarray) -> pd.DataFrame:
+    """Result rows of decided requests."""
+    out = rows[["client", "request_id"]].copy()
+    out["admitted"] = admitted
+    out["retry_after"] = pd.arrays.IntegerArray(retry_after, admitted.copy())
+    return out
 
 
 def segments(requests: DataFrame, max_requests: int, window: int) -> DataFrame:
@@ -88,15 +110,14 @@ def admissions(
         for batch in batches:
             if batch.empty:
                 continue
-            decisions = []
-            for client, segment, at in zip(batch["client"], batch["segment"], batch["at"], strict=True):
-                if (client, segment) != key:
-                    key, log = (client, segment), deque()
-                decisions += decide(iter([at]), log, max_requests, window)
-            out = batch[["client", "request_id"]].copy()
-            out["admitted"] = [d[0] for d in decisions]
-            out["retry_after"] = pd.array([d[1] for d in decisions], dtype="Int64")
-            yield out
+            clients, cuts, times = (batch[c].to_numpy() for c in ("client", "segment", "at"))
+            starts = np.flatnonzero((clients[1:] != clients[:-1]) | (cuts[1:] != cuts[:-1])) + 1
+            parts = []
+            for rows in np.split(np.arange(len(batch)), starts):
+                if (clients[rows[0]], cuts[rows[0]]) != key:
+                    key, log = (clients[rows[0]], cuts[rows[0]]), deque()
+                parts.append(decide(times[rows], log, max_requests, window))
+            yield decided(batch, *(np.concatenate(column) for column in zip(*parts, strict=True)))
 
     types = {f.name: f.dataType.simpleString() for f in timed.schema.fields}
     schema = f"client {types['client']}, request_id {types['request_id']}, admitted boolean, retry_after bigint"

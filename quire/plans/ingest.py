@@ -39,14 +39,17 @@ def rebuild_index(tables: TableStore, path: str, analyzer: str = "letters") -> N
 
 
 def embed_chunks(tables: TableStore, encoder: Callable[[list[str]], np.ndarray], only_new: bool = True) -> None:
-    """Add vectors of chunks; chunks that have one are skipped or done again."""
+    """Add vectors of chunks that have none, or replace the vectors of all chunks."""
     chunks, existing = tables.read("chunks"), tables.read("embeddings")
     if only_new:
         chunks = chunks.join(existing.select(F.col("chunk_id").alias("id")), "id", "left_anti")
     meta = tables.read("papers").select(F.col("id").alias("paper_id"), "title", "year", "venue")
     encoded = vectors.encode(chunks, "chunk_text", encoder).join(meta, "paper_id")
     rows = encoded.withColumnRenamed("id", "chunk_id").select(*TABLES["embeddings"].names)
-    tables.overwrite("embeddings", upsert(existing, rows, "chunk_id"))
+    if only_new:
+        tables.append("embeddings", rows)
+    else:
+        tables.overwrite("embeddings", upsert(existing, rows, "chunk_id"))
 
 
 def update_full_texts(tables: TableStore, updates: DataFrame) -> None:

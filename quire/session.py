@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 # limit takes the shuffled path instead.
 MAX_SMALL_ROWS = 200_000
 MAX_SMALL_BYTES = 64 * 1024 * 1024
+# A frame that cannot have more rows, by a limit in its plan, needs no measuring.
+PAGE_ROWS = 1_000
 
 
 def get_session(app: str = "quire", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,6 +60,9 @@ def is_small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS, max_bytes: int = MAX
     plan = df._jdf.queryExecution().optimizedPlan()
     if plan.nodeName() == "LocalRelation":
         return plan.data().size() <= max_rows
+    bound = plan.maxRows()
+    if bound.isDefined() and bound.get() <= min(max_rows, PAGE_ROWS):
+        return True
     width = F.lit(0)
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quire.operators.ratelimit import MAX_REQUESTS, WINDOW_SECONDS, decide, micros
+from quire.operators.ratelimit import MAX_REQUESTS, WINDOW_SECONDS, decide, decided, micros
 
 
 def admit_stream(
@@ -26,12 +26,9 @@ def admit_stream(
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         log = deque(state.get[0] if state.exists else [])
         rows = pd.concat(list(batches)).sort_values(["at", "request_id"])
-        decisions = list(decide(iter(rows["at"]), log, max_requests, window))
+        admitted, retry_after = decide(rows["at"].to_numpy(), log, max_requests, window)
         state.update(([int(t) for t in log],))
-        out = rows[["client", "request_id"]].copy()
-        out["admitted"] = [d[0] for d in decisions]
-        out["retry_after"] = pd.array([d[1] for d in decisions], dtype="Int64")
-        yield out
+        yield decided(rows, admitted, retry_after)
 
     timed = requests.select("client", "request_id", micros(F.col("ts")).alias("at"))
     types = {f.name: f.dataType.simpleString() for f in timed.schema.fields}
