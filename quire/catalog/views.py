@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -39,12 +41,12 @@ def _per_order(lines: DataFrame, name: str) -> DataFrame:
 
 
 def _with_parts(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
+    lines = spread(table(spark, folder, "lineitem").select("l_orderkey", "l_partkey"))
     return lines.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
 
 
 def _with_suppliers(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
+    lines = spread(table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey"))
     return lines.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
 
 

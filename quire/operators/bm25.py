@@ -132,23 +132,31 @@ def score(index: Bm25Index, queries: DataFrame) -> DataFrame:
     small = is_small(queries)
     terms = query_terms(queries, index.analyzer)
     wanted = terms.select("term").distinct()
+    if small:
+        # A numeric key for the few terms makes the shuffle and the joins cheaper.
+        wanted = wanted.withColumn("key", F.row_number().over(Window.orderBy("term")))
+        keyed = index.occurrences.join(F.broadcast(wanted), "term")
+    else:
+        keyed = index.occurrences.join(wanted, "term", "left_semi").withColumn("key", F.col("term"))
     hits = (
-        index.occurrences.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+        keyed.select("chunk_id", "length", "key", "tf")
         .repartition("chunk_id")
-        .groupBy("chunk_id", "length", "term")
+        .groupBy("chunk_id", "length", "key")
         .agg(F.sum("tf").alias("tf"))
     )
     avg_length = index.totals.select("avg_length").scalar()
     norm = F.lit(1 - index.b) + F.lit(index.b) * F.col("length") / avg_length
-    hits = hits.withColumn("weight", F.col("tf") * F.lit(index.k1 + 1) / (F.col("tf") + F.lit(index.k1) * norm))
-
-    weights = terms.join(index.vocabulary.select("term", "idf"), "term").select(
-        "query_id", "term", (F.col("qtf") * F.col("idf")).alias("query_weight")
+    hits = hits.select(
+        "chunk_id", "key", (F.col("tf") * F.lit(index.k1 + 1) / (F.col("tf") + F.lit(index.k1) * norm)).alias("weight")
     )
+
+    weights = terms.join(index.vocabulary.select("term", "idf"), "term")
+    weights = weights.join(F.broadcast(wanted), "term") if small else weights.withColumn("key", F.col("term"))
+    weights = weights.select("query_id", "key", (F.col("qtf") * F.col("idf")).alias("query_weight"))
     if small:
         weights = F.broadcast(weights)
     return (
-        hits.join(weights, "term")
+        hits.join(weights, "key")
         .groupBy("query_id", "chunk_id")
         .agg(F.sum(F.col("query_weight") * F.col("weight")).alias("score"))
         .filter(F.col("score") > 0)
