@@ -307,7 +307,8 @@ ROUGE_CTES = (
         THEN coalesce(lag(best) OVER (PARTITION BY conv_id, turn ORDER BY j), 0) + 1 ELSE best END AS c
       FROM dp JOIN aw USING (conv_id, turn, j) JOIN tok USING (conv_id, turn) WHERE i < len(b))),
   lcs AS (SELECT conv_id, turn, best FROM dp JOIN tok USING (conv_id, turn) WHERE i = len(b) AND j = len(a)),
-  gen AS (SELECT conv_id, turn, coalesce(2.0::DOUBLE * best / (len(a) + len(b)), 0) AS rouge_l_f1,
+  gen AS (SELECT conv_id, turn, CASE WHEN best > 0 THEN 2 * (best / len(a)::DOUBLE) * (best / len(b)::DOUBLE)
+            / (best / len(a)::DOUBLE + best / len(b)::DOUBLE) ELSE 0 END AS rouge_l_f1,
           CASE WHEN len(keywords) > 0 THEN len(list_filter(keywords, lambda k: contains(lower(prediction), lower(k))))
                / len(keywords)::DOUBLE END AS answer_coverage
           FROM tok LEFT JOIN lcs USING (conv_id, turn))"""
@@ -316,11 +317,11 @@ ROUGE_CTES = (
 
 @query(
     "rouge_l",
-    "WITH RECURSIVE " + ROUGE_CTES + " SELECT conv_id, turn, round(rouge_l_f1, 6) AS rouge_l_f1 FROM gen",
+    "WITH RECURSIVE " + ROUGE_CTES + " SELECT conv_id, turn, round(rouge_l_f1 + 1e-9, 6) AS rouge_l_f1 FROM gen",
 )
 def rouge_l(spark, d):
     score = metrics.rouge_l_f1("prediction", "reference")
-    return turns(spark, d).select("conv_id", "turn", F.round(score, 6).alias("rouge_l_f1"))
+    return turns(spark, d).select("conv_id", "turn", F.round(score + 1e-9, 6).alias("rouge_l_f1"))
 
 
 @query(

@@ -54,11 +54,12 @@ BM25_CTES = r"""
   idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM voc) ELSE raw END AS idf FROM voc),
   qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (
            SELECT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM benchmark) GROUP BY ALL),
-  bm AS (SELECT query_id, chunk_id, sum(qtf * idf * tf * 2.5::DOUBLE
-              / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avgdl FROM tot)))) AS score
+  bm AS (SELECT query_id, chunk_id, sum(CAST(floor(qtf * idf * (tf * 2.5::DOUBLE
+              / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avgdl FROM tot)))) * 1e9 + 0.5) AS BIGINT))
+              / 1e9 AS score
          FROM qt JOIN idf USING (term) JOIN post USING (term) GROUP BY ALL),
   bmr AS (SELECT query_id, chunk_id, score, row_number() OVER (
-            PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm WHERE score > 0)"""
+            PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm WHERE score > 0)"""
 
 VEC_CTES = """
   vq AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),

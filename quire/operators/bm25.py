@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from quire.functions.text import ANALYZERS
 from quire.session import hold_if_small, is_small, spread
 
-# Scores are ranked on this many decimals, so that the order of a floating-point
-# sum never decides between equal chunks.
+# Scores are summed in whole billionths, so equal chunks get equal scores in
+# whatever order their terms are added.
+SCORE_UNIT = 1e9
+# Decimals on which other scores are ranked.
 RANK_DECIMALS = 9
 
 
@@ -155,10 +157,11 @@ def score(index: Bm25Index, queries: DataFrame) -> DataFrame:
     weights = weights.select("query_id", "key", (F.col("qtf") * F.col("idf")).alias("query_weight"))
     if small:
         weights = F.broadcast(weights)
+    units = F.floor(F.col("query_weight") * F.col("weight") * F.lit(SCORE_UNIT) + 0.5)
     return (
         hits.join(weights, "key")
         .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("query_weight") * F.col("weight")).alias("score"))
+        .agg((F.sum(units) / F.lit(SCORE_UNIT)).alias("score"))
         .filter(F.col("score") > 0)
     )
 
@@ -175,4 +178,4 @@ def top_k(scored: DataFrame, k: int, by: str = "score", decimals: int | None = R
 
 def search(index: Bm25Index, queries: DataFrame, k: int = 50) -> DataFrame:
     """(query_id, chunk_id, score, rank): the best ``k`` chunks of each query."""
-    return top_k(score(index, queries), k)
+    return top_k(score(index, queries), k, decimals=None)

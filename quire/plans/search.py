@@ -45,7 +45,7 @@ def candidate_lists(
         condition = vectors.compile_where(where)
         if condition is not None and config.filter_sparse and metadata is not None:
             scored = scored.join(metadata.filter(condition).select("chunk_id"), "chunk_id", "left_semi")
-        lists.append((bm25.top_k(scored, config.bm25_top_k or fetch), config.bm25_weight))
+        lists.append((bm25.top_k(scored, config.bm25_top_k or fetch, decimals=None), config.bm25_weight))
     if config.vector_weight > 0:
         found = vectors.search(embeddings, queries.select("query_id", "embedding"), config.vector_top_k or fetch, where)
         lists.append((found, config.vector_weight))

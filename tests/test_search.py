@@ -58,9 +58,9 @@ def test_bm25_matches_formula(spark, texts):
     for r in bm25.score(index, queries).collect():
         got.setdefault(r["query_id"], {})[r["chunk_id"]] = r["score"]
     for number, query in asked:
-        assert got.get(number, {}) == pytest.approx(okapi(texts, query))
+        assert got.get(number, {}) == pytest.approx(okapi(texts, query), abs=1e-7)
     ranked = bm25.search(index, queries, 5).filter("query_id = 1").orderBy("rank").collect()
-    want = sorted(okapi(texts, asked[0][1]).items(), key=lambda p: (-round(p[1], 9), p[0]))[:5]
+    want = sorted(okapi(texts, asked[0][1]).items(), key=lambda p: (-round(p[1], 7), p[0]))[:5]
     assert [r["chunk_id"] for r in ranked] == [i for i, _ in want]
 
 
