@@ -80,7 +80,7 @@ def _register_kind(kind: str) -> None:
         ("papers", kind),
     )
     def top_by_year(spark, d):
-        return counts.top_entities_by_year(v.entities(spark, d), v.papers(spark, d), kind)
+        return counts.top_entities_by_year(v.entities(spark, d, kind), v.papers(spark, d), kind)
 
     @query(
         f"{singular}_trend",
@@ -89,7 +89,7 @@ def _register_kind(kind: str) -> None:
         ("papers", kind),
     )
     def trend(spark, d):
-        return counts.entity_trend(v.entities(spark, d), v.papers(spark, d), kind, needle)
+        return counts.entity_trend(v.entities(spark, d, kind), v.papers(spark, d), kind, needle)
 
     @query(
         f"entity_list_{kind}",
@@ -98,7 +98,7 @@ def _register_kind(kind: str) -> None:
         (kind,),
     )
     def listing(spark, d):
-        return counts.entity_list(v.entities(spark, d), kind)
+        return counts.entity_list(v.entities(spark, d, kind), kind)
 
 
 for _kind in KINDS:
@@ -115,7 +115,7 @@ for _kind in KINDS:
     ("papers", "methods"),
 )
 def top_methods_latest_year(spark, d):
-    return counts.latest_year(counts.top_entities_by_year(v.entities(spark, d), v.papers(spark, d), "methods"))
+    return counts.latest_year(counts.top_entities_by_year(v.entities(spark, d, "methods"), v.papers(spark, d), "methods"))
 
 
 @query(
@@ -128,7 +128,7 @@ def top_methods_latest_year(spark, d):
     ("papers", "methods"),
 )
 def dashboard_top_methods(spark, d):
-    return counts.sum_by_name(counts.top_entities_by_year(v.entities(spark, d), v.papers(spark, d), "methods"))
+    return counts.sum_by_name(counts.top_entities_by_year(v.entities(spark, d, "methods"), v.papers(spark, d), "methods"))
 
 
 @query(
@@ -147,7 +147,7 @@ def dashboard_top_methods(spark, d):
 )
 def trend_compare(spark, d):
     lines = {"brand": ("methods", "brand#1"), "ring": ("tasks", "ring"), "nowhere": ("tasks", "nowhere")}
-    return counts.compare_trends(v.entities(spark, d), v.papers(spark, d), lines)
+    return counts.compare_trends(v.entities(spark, d, "methods", "tasks"), v.papers(spark, d), lines)
 
 
 @query(
@@ -157,7 +157,7 @@ def trend_compare(spark, d):
     ("papers", "methods"),
 )
 def venue_method_profile(spark, d):
-    return counts.venue_method_profile(v.entities(spark, d), v.papers(spark, d), "building")
+    return counts.venue_method_profile(v.entities(spark, d, "methods"), v.papers(spark, d), "building")
 
 
 @query(
@@ -182,7 +182,7 @@ def enrichment_stats(spark, d):
     ("methods", "datasets"),
 )
 def method_dataset_cooccurrence(spark, d):
-    return pairs.entity_cooccurrence(v.entities(spark, d), "methods", "datasets")
+    return pairs.entity_cooccurrence(v.entities(spark, d, "methods", "datasets"), "methods", "datasets")
 
 
 @query(
@@ -193,7 +193,7 @@ def method_dataset_cooccurrence(spark, d):
     ("methods", "tasks"),
 )
 def method_task_cooccurrence(spark, d):
-    return pairs.entity_cooccurrence(v.entities(spark, d), "methods", "tasks")
+    return pairs.entity_cooccurrence(v.entities(spark, d, "methods", "tasks"), "methods", "tasks")
 
 
 @query(
@@ -239,7 +239,7 @@ def browse_papers(spark, d):
 )
 def browse_by_entities(spark, d):
     found = browse.filter_papers(
-        v.papers(spark, d), v.entities(spark, d), year=1998, method="brand#1", dataset="econ"
+        v.papers(spark, d), v.entities(spark, d, "methods", "datasets"), year=1998, method="brand#1", dataset="econ"
     )
     return browse.browse_papers(found, 100)
 
@@ -270,7 +270,8 @@ def browse_with_authors(spark, d):
     ("papers", "methods"),
 )
 def count_papers(spark, d):
-    found = browse.filter_papers(v.papers(spark, d), v.entities(spark, d), venue="machinery", method="brand#2")
+    methods = v.entities(spark, d, "methods")
+    found = browse.filter_papers(v.papers(spark, d), methods, venue="machinery", method="brand#2")
     return browse.count_papers(found)
 
 
@@ -286,7 +287,9 @@ def count_papers(spark, d):
     ("papers", "authors", "methods", "datasets"),
 )
 def paper_details(spark, d):
-    detail = browse.paper_details(v.papers(spark, d), v.authors(spark, d), v.entities(spark, d))
+    detail = browse.paper_details(
+        v.papers(spark, d), v.authors(spark, d), v.entities(spark, d, "methods", "datasets")
+    )
     names = {k: F.array_join(F.transform(k, lambda e: e["name"]), "; ") for k in ("methods", "datasets")}
     return detail.withColumns({"authors": F.array_join("authors", "; "), **names}).select(
         "id", "title", "year", "venue", "volume", "authors", "methods", "datasets"

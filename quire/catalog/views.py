@@ -70,9 +70,12 @@ def entity(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     )
 
 
-def entities(spark: SparkSession, folder: str) -> DataFrame:
-    """All four kinds.  The literal type lets Catalyst drop the branches a query filters out."""
-    frames = [entity(spark, folder, kind) for kind in ("methods", "datasets", "tasks", "topics")]
+def entities(spark: SparkSession, folder: str, *kinds: str) -> DataFrame:
+    """The given kinds, by default all four.
+
+    The literal type lets Catalyst drop the branches a query filters out.
+    """
+    frames = [entity(spark, folder, kind) for kind in kinds or ("methods", "datasets", "tasks", "topics")]
     result = frames[0]
     for frame in frames[1:]:
         result = result.unionByName(frame)
