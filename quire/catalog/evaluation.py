@@ -34,7 +34,7 @@ def relevant(spark, d):
     """(query_id, item_id) of documents that contain a passage.
 
     The rarest inner word of a passage leads to its few candidates by an
-    equi-join; only those are compared as texts.
+    equi-join; only those are compared as texts.  Passages have at least three words.
     """
     documents = spread(v.table(spark, d, "documents").select("doc_id", "text"))
     passages = v.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))

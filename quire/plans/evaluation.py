@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quire.operators import fusion, metrics, pooling
 from quire.operators.bm25 import Bm25Index
-from quire.plans.search import SearchConfig, attach_chunks, candidate_lists
-from quire.session import hold_if_small, is_small
+from quire.plans.search import SearchConfig, attach_chunks, candidate_lists, held
+from quire.session import is_small
 
 
 def evaluate(
@@ -89,7 +89,7 @@ def ablation_results(
     base = ablations[0].config
     if any((a.config.hybrid_top_k, a.config.rrf_k) != (base.hybrid_top_k, base.rrf_k) for a in ablations):
         raise ValueError("configurations compared together need the same hybrid_top_k and rrf_k")
-    queries = hold_if_small(queries.select("query_id", "query_text", "embedding"))
+    queries = held(queries)
     lists = candidate_lists(index, embeddings, queries, SearchConfig(hybrid_top_k=base.hybrid_top_k))
     rows = metrics.union_all(
         [

@@ -29,6 +29,12 @@ class SearchConfig:
     filter_sparse: bool = True
 
 
+def held(queries: DataFrame) -> DataFrame:
+    """Queries as the plans below share them; a search by one list needs only its column."""
+    columns = ("query_id", "query_text", "embedding")
+    return hold_if_small(queries.select(*[c for c in columns if c in queries.columns]))
+
+
 def candidate_lists(
     index: Bm25Index,
     embeddings: DataFrame,
@@ -61,7 +67,7 @@ def hybrid_search(
     metadata: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, rrf_score, rank) of ``queries`` (query_id, query_text, embedding)."""
-    queries = hold_if_small(queries.select("query_id", "query_text", "embedding"))
+    queries = held(queries)
     lists = candidate_lists(index, embeddings, queries, config, where, metadata)
     return fusion.fuse(lists, config.hybrid_top_k, config.rrf_k)
 
@@ -94,7 +100,7 @@ def search(
     reranker switched off, the fused order stands.
     """
     k = top_k or config.rerank_top_k
-    queries = hold_if_small(queries.select("query_id", "query_text", "embedding"))
+    queries = held(queries)
     ranked = hybrid_search(index, embeddings, queries, config, where, metadata)
     found = attach_chunks(ranked, chunks, queries, config.hybrid_top_k)
     if scorer is not None and config.use_reranker:

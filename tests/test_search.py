@@ -173,6 +173,10 @@ def test_search_plan(spark, chunks, embeddings):
     ]
     reranked = search(index, embeddings, table, asked, SearchConfig(), fusion.pair_scorer(lambda p: np.array([len(t) for _, t in p], float)), 1)
     assert {r["query_id"]: r["chunk_id"] for r in reranked.collect()} == {1: 1, 2: 1}
+    sparse = search(index, embeddings, table, asked.drop("embedding"), SearchConfig(vector_weight=0))
+    assert [r["chunk_id"] for r in sparse.collect()] == [2]
+    dense = search(index, embeddings, table, asked.drop("query_text"), SearchConfig(bm25_weight=0), top_k=1)
+    assert {r["query_id"]: r["chunk_id"] for r in dense.collect()} == {1: 2, 2: 4}
     only = search(index, embeddings, table, asked, where={"venue": "acl"}, metadata=embeddings.select("chunk_id", "venue"))
     assert {r["chunk_id"] for r in only.collect()} <= {1, 4}
 
