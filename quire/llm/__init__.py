@@ -4,7 +4,7 @@ import importlib
 
 from quire.llm.registry import ORACLES, QUERIES
 
-MODULES = ["weak_rules"]
+MODULES = ["weak_rules", "mixing", "containment"]
 
 for _name in MODULES:
     importlib.import_module(f"quire.llm.{_name}")
