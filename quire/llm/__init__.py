@@ -4,7 +4,7 @@ import importlib
 
 from quire.llm.registry import ORACLES, QUERIES
 
-MODULES = ["fourier_quality", "weak_rules", "mixing", "containment", "jaccard_join"]
+MODULES = ["byte_cnn", "fourier_quality", "weak_rules", "mixing", "containment", "jaccard_join"]
 
 for _name in MODULES:
     importlib.import_module(f"quire.llm.{_name}")
