@@ -35,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back; compact for many rows."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of ``uri`` and the path in it."""
     return pafs.FileSystem.from_uri(uri)
