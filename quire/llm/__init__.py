@@ -4,7 +4,7 @@ import importlib
 
 from quire.llm.registry import ORACLES, QUERIES
 
-MODULES = ["byte_cnn", "fourier_quality", "weak_rules", "mixing", "containment", "jaccard_join", "main_text", "token_store", "tool_calls"]
+MODULES = ["byte_cnn", "fourier_quality", "weak_rules", "mixing", "containment", "jaccard_join", "main_text", "ngram_trie", "token_store", "tool_calls"]
 
 for _name in MODULES:
     importlib.import_module(f"quire.llm.{_name}")
