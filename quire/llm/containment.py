@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.registry import query, table
+from quire.llm.shared import cut
 from quire.llm.words import shingle_sets, texts_of
+from quire.session import broadcast_if_small
 
 WIDTH = 5
 THRESHOLD = 75  # per cent
@@ -174,7 +176,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", *
     """
     keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(options.get("text", "text"))))
     found = find_items(keyed.select("_key", options.get("text", "text")), items, doc_id="_key", **options)
-    return keyed.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").drop("_key")
+    found = broadcast_if_small(cut(found.select(F.col("doc_id").alias("_key")).distinct()))
+    return keyed.join(found, "_key", "left_anti").drop("_key")
 
 
 SQL = r"""
