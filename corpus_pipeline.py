@@ -56,9 +56,9 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them."""
     taken = mix_sources(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = broadcast_if_small(cut(taken.withColumnRenamed("doc_id", "_id")))
+    taken = broadcast_if_small(cut(taken.select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))))
     often = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return often.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    return often.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
