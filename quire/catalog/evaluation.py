@@ -34,7 +34,8 @@ def relevant(spark, d):
     """(query_id, item_id) of documents that contain a passage.
 
     The rarest inner word of a passage leads to its few candidates by an
-    equi-join; only those are compared as texts.  Passages have at least three words.
+    equi-join; only those are compared as texts.  Passages of one or two words have no
+    inner word; they are looked for in every text, in one pass for all of them.
     """
     documents = spread(v.table(spark, d, "documents").select("doc_id", "text"))
     passages = v.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
@@ -53,9 +54,11 @@ def relevant(spark, d):
     )
     pairs = present.join(anchors, "word").select("doc_id", "item_id")
     compared = pairs.join(documents, "doc_id").join(passages, "item_id")
-    return compared.filter(F.contains("text", "passage")).select(
-        F.col("item_id").alias("query_id"), F.col("doc_id").alias("item_id")
-    )
+    found = compared.filter(F.contains("text", "passage")).select("item_id", "doc_id")
+    short = passages.filter(F.size(words(F.col("passage"))) < 3).agg(F.collect_list(F.struct("item_id", "passage"))).scalar()
+    tried = documents.select("doc_id", "text", short.alias("short")).select("doc_id", "text", F.explode("short").alias("p"))
+    within = tried.filter(F.contains(F.col("text"), F.col("p.passage"))).select("p.item_id", "doc_id")
+    return found.unionByName(within).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item_id"))
 
 
 REL_CTE = """rel AS (SELECT b.item_id AS query_id, d.doc_id AS item_id FROM benchmark b, documents d

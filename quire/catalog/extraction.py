@@ -18,38 +18,27 @@ from quire.plans import enrichment
 from quire.session import spread
 
 KINDS = ["method", "dataset", "task", "topic"]
-LEXICON_SIZE = 300
 
-LEXICON_CTES = f"""
-  terms AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))) AS term
+LEXICON_CTES = """
+  terms AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS term
             FROM documents),
   freq AS (SELECT term, count(*) AS df FROM terms WHERE length(term) > 4 GROUP BY term),
-  lex AS (SELECT term AS name, row_number() OVER (ORDER BY df DESC, term) - 1 AS ord FROM freq
-          WHERE df <= 0.06::DOUBLE * (SELECT count(*) FROM documents) ORDER BY df DESC, term LIMIT {LEXICON_SIZE}),
+  lex AS (SELECT term AS name, CAST(('0x' || substr(md5(term), 1, 7)) AS BIGINT) AS ord FROM freq
+          WHERE df <= 0.06::DOUBLE * (SELECT count(*) FROM documents)),
   lexicon AS (SELECT CASE ord % 4 WHEN 0 THEN 'method' WHEN 1 THEN 'dataset' WHEN 2 THEN 'task' ELSE 'topic' END
                      AS entity_type, name, CAST(ord AS INTEGER) AS ord FROM lex),
   found AS (SELECT doc_id, ord, entity_type, name FROM terms JOIN lexicon ON term = name)"""
 
 
-def data_lexicon(spark, d) -> list[tuple[str, str]]:
-    """At most LEXICON_SIZE (entity_type, name) pairs, best first."""
+def data_lexicon(spark, d):
+    """(entity_type, name, ord) of all longer words that are in at most 6 % of the documents."""
     documents = spread(v.table(spark, d, "documents").select("text"))
-    terms = documents.select(F.explode(F.array_distinct(word_terms(F.col("text")))).alias("term"))
+    terms = documents.select(F.explode(F.array_distinct(word_terms(F.col("text")))).alias("name"))
     limit = documents.select(F.count("*") * F.lit(0.06)).scalar()
-    top = (
-        terms.filter(F.length("term") > 4)
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
-        .filter(F.col("df") <= limit)
-        .orderBy(F.desc("df"), "term")
-        .limit(LEXICON_SIZE)
-    )
-    return [(KINDS[i % 4], row["term"]) for i, row in enumerate(top.collect())]
-
-
-def lexicon_frame(spark, d):
-    rows = [(kind, name, i) for i, (kind, name) in enumerate(data_lexicon(spark, d))]
-    return spark.createDataFrame(rows, "entity_type string, name string, ord int")
+    names = terms.filter(F.length("name") > 4).groupBy("name").agg(F.count("*").alias("df")).filter(F.col("df") <= limit)
+    ord_ = F.conv(F.substring(F.md5("name"), 1, 7), 16, 10).cast("int")
+    kind = F.element_at(F.array(*(F.lit(k) for k in KINDS)), F.col("ord") % 4 + 1)
+    return names.withColumn("ord", ord_).select(kind.alias("entity_type"), "name", "ord")
 
 
 FOUND_SQL = (
@@ -67,7 +56,7 @@ def extract_entities(spark, d):
 
 @query("extract_entities_joined", FOUND_SQL)
 def extract_entities_joined(spark, d):
-    return gazetteer.join_lexicon(v.docs(spark, d), F.col("full_text"), lexicon_frame(spark, d))
+    return gazetteer.join_lexicon(v.docs(spark, d), F.col("full_text"), data_lexicon(spark, d))
 
 
 @query(

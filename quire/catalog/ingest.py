@@ -8,7 +8,8 @@ from quire.catalog import views as v
 from quire.catalog.registry import query
 from quire.catalog.texts import CHUNKS_SQL
 from quire.operators import browse, ratelimit
-from quire.operators.chunking import chunk_papers
+from quire.operators.chunking import chunk_papers, stable_chunk_ids
+from quire.plans.ingest import pair_vectors
 from quire.sources import fulltext, papers, store
 
 
@@ -78,7 +79,11 @@ def load_anthology(spark, d):
     return loaded.select("id", "year", F.array_join("authors", "; ").alias("authors"), "venue", "volume", "url")
 
 
-@query("sample_papers")
+@query(
+    "sample_papers",
+    "SELECT id, title, year, venue FROM papers ORDER BY md5('42|' || id), id LIMIT 100",
+    ("papers",),
+)
 def sample_papers(spark, d):
     return papers.sample(v.papers(spark, d), 100, "id").select("id", "title", "year", "venue")
 
@@ -110,6 +115,68 @@ def dedup_append(spark, d):
     return store.new_papers(known, again.unionByName(once), "seq").drop("seq")
 
 
+FIRST_SQL = """WITH r AS (SELECT lang AS id, doc_id, source,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS n FROM documents)"""
+
+
+def loaded_twice(spark, d):
+    """A source that has each id many times, with other titles and authors, and its order."""
+    return v.table(spark, d, "documents").select(
+        F.col("lang").alias("id"),
+        F.concat(F.lit("Paper "), F.col("doc_id").cast("string")).alias("title"),
+        F.array("source", F.col("doc_id").cast("string")).alias("authors"),
+        (-F.col("doc_id")).alias("load_order"),
+    )
+
+
+@query(
+    "first_duplicate_papers",
+    FIRST_SQL + " SELECT id, 'Paper ' || doc_id AS title FROM r WHERE n = 1",
+)
+def first_duplicate_papers(spark, d):
+    rows = loaded_twice(spark, d)
+    return store.new_papers(rows.select("id").limit(0), rows, "load_order").select("id", "title")
+
+
+@query(
+    "first_duplicate_authors",
+    FIRST_SQL + """ SELECT id AS paper_id, source AS name, 0 AS position FROM r WHERE n = 1
+                    UNION ALL SELECT id, CAST(doc_id AS VARCHAR), 1 FROM r WHERE n = 1""",
+)
+def first_duplicate_authors(spark, d):
+    rows = loaded_twice(spark, d)
+    fresh = store.author_rows(store.new_papers(rows.select("id").limit(0), rows, "load_order"))
+    return store.new_author_rows(fresh.limit(0), fresh)
+
+
+def part_of_docs(spark, d, everything):
+    docs = v.docs(spark, d)
+    return docs if everything else docs.filter("doc_id % 2 = 0")
+
+
+def vectors_of(chunks):
+    """Stands for an encoder: a vector made from the chunk's own text."""
+    text = F.col("chunk_text")
+    return chunks.select(F.col("id").alias("chunk_id"), F.array(F.length(text).cast("double"), F.crc32(text.cast("binary")).cast("double")).alias("embedding"))
+
+
+@query(
+    "rebuild_pairing",
+    CHUNKS_SQL
+    + """SELECT paper_id, chunk_index, CAST(('0x' || substr(md5(paper_id || chr(1) || chunk_index || chr(1) || array_to_string(cw, ' ')), 1, 15)) AS BIGINT) AS id,
+           CAST(length(array_to_string(cw, ' ')) AS DOUBLE) AS size FROM c""",
+    ("docs",),
+)
+def rebuild_pairing(spark, d):
+    """Half of the papers, chunked and embedded; then all: every chunk has its own vector."""
+    old = stable_chunk_ids(chunk_papers(part_of_docs(spark, d, False), "fixed"))
+    existing = vectors_of(old).unionByName(vectors_of(old.withColumn("id", -F.col("id"))))  # and some of chunks that are gone
+    chunks = stable_chunk_ids(chunk_papers(part_of_docs(spark, d, True), "fixed"))
+    kept, missing = pair_vectors(chunks, existing)
+    paired = chunks.join(kept.unionByName(vectors_of(missing)).withColumnRenamed("chunk_id", "id"), "id")
+    return paired.select("paper_id", "chunk_index", "id", F.get("embedding", F.lit(0)).alias("size"))
+
+
 @query("author_rows", "SELECT paper_id, name, position FROM authors", ("authors",))
 def author_rows(spark, d):
     lists = browse.author_lists(v.authors(spark, d)).withColumnRenamed("paper_id", "id")

@@ -13,7 +13,7 @@ from quire.catalog.registry import query
 from quire.operators import bm25, fusion, vectors
 from quire.plans import answers
 from quire.plans.search import SearchConfig, hybrid_search as fused_search, search
-from quire.session import spread
+from quire.session import scratch_folder, spread
 
 
 def chunks(spark, d):
@@ -35,7 +35,8 @@ def questions(spark, d):
     vec = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
     return (
         v.table(spark, d, "benchmark")
-        .join(vec, "item_id")
+        # A passage without a vector still has words.
+        .join(vec, "item_id", "left")
         .select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "embedding")
     )
 
@@ -96,7 +97,10 @@ RESULTS_CTES = (
 )
 
 
-@query("bm25_vocabulary", "WITH " + BM25_CTES + " SELECT term, df, round(idf, 6) AS idf FROM idf")
+VOCABULARY_CTES = BM25_CTES[: BM25_CTES.index("  qt AS")].rstrip().rstrip(",")
+
+
+@query("bm25_vocabulary", "WITH " + VOCABULARY_CTES + " SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_vocabulary(spark, d):
     return index(spark, d).vocabulary.withColumn("idf", F.round("idf", 6))
 
@@ -119,6 +123,18 @@ def bm25_search(spark, d):
     )
 
 
+@query(
+    "bm25_written_search",
+    "WITH " + BM25_CTES + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 20",
+)
+def bm25_written_search(spark, d):
+    """Write the index, read it back and search it; the scan is cut to the terms of the queries."""
+    path = scratch_folder(spark, "bm25")
+    bm25.write_index(index(spark, d), path, version=d)
+    found = bm25.search(bm25.read_index(spark, path, version=d), questions(spark, d).select("query_id", "query_text"), 20)
+    return found.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+
+
 @query(
     "vector_search",
     "WITH " + VEC_CTES + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM vr WHERE rank <= 50",
@@ -367,3 +383,32 @@ def generated_answers(spark, d):
     replies, _ = answers.answer(results(spark, d), questions(spark, d), LengthBackend())
     answer = F.when(F.col("answer") == answers.UNAVAILABLE_ANSWER, "unavailable").otherwise(F.col("answer"))
     return replies.select("query_id", answer.alias("answer"), "model")
+
+
+FILTERED = "(SELECT doc_id FROM documents WHERE lang = 'en' AND 2000 + doc_id % 20 BETWEEN 2003 AND 2012)"
+
+
+def filtered_sql(filter_sparse: bool) -> str:
+    """Fused lists whose vector list, and with ``filter_sparse`` also the other, obeys the filter."""
+    lexical = BM25_CTES.replace("FROM bm WHERE score > 0", f"FROM bm WHERE score > 0 AND chunk_id IN {FILTERED}") if filter_sparse else BM25_CTES
+    dense = VEC_CTES.replace("e FROM embeddings))", f"e FROM embeddings WHERE vec_id IN {FILTERED}))")
+    return "WITH " + lexical + "," + dense + "," + fused_ctes("hy", 1, 1, 60, 20) + " SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, rank FROM hy"
+
+
+def filtered(spark, d, filter_sparse):
+    where = vectors.search_filter("en", 2003, 2012)
+    meta = chunks(spark, d).select("chunk_id", "venue", "year")
+    corpus = embeddings(spark, d).join(meta, "chunk_id")
+    config = SearchConfig(hybrid_top_k=20, filter_sparse=filter_sparse)
+    found = fused_search(index(spark, d), corpus, questions(spark, d), config, where, meta)
+    return found.select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("hybrid_search_filtered", filtered_sql(True))
+def hybrid_search_filtered(spark, d):
+    return filtered(spark, d, True)
+
+
+@query("hybrid_search_filtered_dense", filtered_sql(False))
+def hybrid_search_filtered_dense(spark, d):
+    return filtered(spark, d, False)

@@ -120,7 +120,8 @@ def authors_from_structs(field: Column) -> Column:
 
 
 def authors_from_list(field: Column) -> Column:
-    return F.coalesce(F.transform(field, strip), F.array().cast("array<string>"))
+    # Entries that are null are no names.
+    return F.coalesce(F.array_compact(F.transform(field, strip)), F.array().cast("array<string>"))
 
 
 def safe_file_name(pid: Column) -> Column:
@@ -129,4 +130,4 @@ def safe_file_name(pid: Column) -> Column:
 
 def question_number(qid: Column) -> Column:
     """Number of a ``qNNN`` id, null for any other id."""
-    return F.when(qid.startswith("q"), F.substring(qid, 2, 18).try_cast("bigint"))
+    return F.when(qid.startswith("q"), F.substr(qid, F.lit(2)).try_cast("bigint"))

@@ -82,7 +82,8 @@ def entities_of(entities: DataFrame, kind: str) -> DataFrame:
     return entities.filter(F.col("entity_type") == entity_type(kind))
 
 
-def check_range(name: str, value: int | None, low: int, high: int) -> None:
-    """Argument limits of the service interface."""
-    if value is not None and not low <= value <= high:
-        raise ValueError(f"{name} must be between {low} and {high}, got {value}")
+def check_range(name: str, value: int | None, low: int, high: int | None) -> None:
+    """Argument limits of the service interface; ``high`` may be open."""
+    if value is not None and (value < low or (high is not None and value > high)):
+        bounds = f"at least {low}" if high is None else f"between {low} and {high}"
+        raise ValueError(f"{name} must be {bounds}, got {value}")

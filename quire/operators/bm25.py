@@ -7,9 +7,10 @@ from the chunks or written once as tables and read back.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import ANALYZERS
@@ -87,25 +88,40 @@ def build_index(
     return Bm25Index(occurrences, terms.select("term", "df", idf.alias("idf")), totals, analyzer, k1, b)
 
 
-def write_index(index: Bm25Index, path: str) -> None:
-    """Write the index as parquet tables; postings are clustered by term, so a
-    search reads the row groups of its terms only.
+# Folders that the postings of a written index are dealt into, by term.
+INDEX_BUCKETS = 64
+# A search with more different terms reads the folders of its terms, and no less.
+MAX_PUSHED_TERMS = 2_000
 
-    The cluster key also takes the chunk: a term in every chunk is spread over
-    the files instead of filling one.
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def write_index(index: Bm25Index, path: str, version: str = "") -> None:
+    """Write the index as parquet tables, postings in folders by a hash of the term.
+
+    Inside a folder rows are in order of term, so a search reads the folders of its
+    terms, and in them the row groups that can hold the terms.  The cluster key also
+    takes the chunk: a term in every chunk is spread over the files of its folder.
+    ``version`` names the chunks that the index is of.
     """
     postings = index.occurrences.filter("term IS NOT NULL").groupBy("term", "chunk_id", "length").agg(F.sum("tf").alias("tf"))
-    postings.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    postings = postings.withColumn("bucket", term_bucket(F.col("term")))
+    postings.sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
     settings = index.totals.withColumns(
-        {"analyzer": F.lit(index.analyzer), "k1": F.lit(index.k1), "b": F.lit(index.b)}
+        {"analyzer": F.lit(index.analyzer), "k1": F.lit(index.k1), "b": F.lit(index.b), "version": F.lit(version)}
     )
     settings.write.mode("overwrite").parquet(f"{path}/totals")
 
 
-def read_index(spark: SparkSession, path: str) -> Bm25Index:
+def read_index(spark: SparkSession, path: str, version: str | None = None) -> Bm25Index:
+    """A written index; one of another ``version`` of the chunks is refused."""
     totals = spark.read.parquet(f"{path}/totals")
     row = totals.first()
+    if version is not None and row["version"] != version:
+        raise ValueError(f"the index is of chunks {row['version']!r}, not of {version!r}; build it again")
     return Bm25Index(
         spark.read.parquet(f"{path}/postings"),
         spark.read.parquet(f"{path}/vocabulary"),
@@ -116,6 +132,18 @@ def read_index(spark: SparkSession, path: str) -> Bm25Index:
     )
 
 
+def pruned(occurrences: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Postings of a written index cut down in the scan to the folders and row groups of the terms."""
+    if "bucket" not in occurrences.columns:
+        return occurrences
+    terms = [row["term"] for row in wanted.select("term").limit(MAX_PUSHED_TERMS + 1).collect()]
+    if len(terms) <= MAX_PUSHED_TERMS:
+        buckets = sorted({zlib.crc32(t.encode()) % INDEX_BUCKETS for t in terms})
+        return occurrences.filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)) if terms else occurrences.limit(0)
+    buckets = [row[0] for row in wanted.select(term_bucket(F.col("term"))).distinct().collect()]
+    return occurrences.filter(F.col("bucket").isin(*buckets))
+
+
 def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
     """(query_id, term, qtf) of (query_id, query_text)."""
     terms = queries.select("query_id", F.explode(ANALYZERS[analyzer](F.col("query_text"))).alias("term"))
@@ -137,7 +165,7 @@ def score(index: Bm25Index, queries: DataFrame) -> DataFrame:
     if small:
         # A numeric key for the few terms makes the shuffle and the joins cheaper.
         wanted = wanted.withColumn("key", F.row_number().over(Window.orderBy("term")))
-        keyed = index.occurrences.join(F.broadcast(wanted), "term")
+        keyed = pruned(index.occurrences, wanted).join(F.broadcast(wanted), "term")
     else:
         keyed = index.occurrences.join(wanted, "term", "left_semi").withColumn("key", F.col("term"))
     hits = (

@@ -147,6 +147,16 @@ def chunk_papers(papers: DataFrame, strategy: str = "abstract", **options: int)
     )
 
 
+def stable_chunk_ids(chunks: DataFrame) -> DataFrame:
+    """Numeric ids that a chunk keeps for as long as its paper, place and text stay the same.
+
+    60 bits of a digest of the three; another text at the place gets another id, so
+    whatever was derived from the old chunk is never taken for the new one.
+    """
+    digest = F.md5(F.concat_ws("\u0001", "paper_id", F.col("chunk_index").cast("string"), "chunk_text"))
+    return chunks.select(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("id"), *chunks.columns)
+
+
 def number_chunks(chunks: DataFrame, buckets: int = 65_536) -> DataFrame:
     """Dense numeric ids that depend on the data alone, not on its partitioning.
 

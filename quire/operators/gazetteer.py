@@ -54,7 +54,7 @@ def find_entities(text: Column, lexicon: list[tuple[str, str]] | None = None) ->
     """Array of (ord, entity_type, name) found in ``text``, in lexicon order."""
     entries = default_lexicon() if lexicon is None else lexicon
     if len(entries) > MAX_PATTERN_NAMES:
-        raise ValueError("lexicon too large for a pattern, use join_lexicon")
+        raise ValueError("lexicon too large for a pattern, use extract or join_lexicon")
     by_name: dict[str, list[dict]] = {}
     for number, (kind, name) in enumerate(entries):
         _check(name)
@@ -75,8 +75,20 @@ def find_entities(text: Column, lexicon: list[tuple[str, str]] | None = None) ->
     return F.array_sort(F.array_distinct(F.coalesce(found, F.array().cast(ENTRY_TYPE))))
 
 
-def extract(papers: DataFrame, text: Column, lexicon: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(paper_id, ord, entity_type, name) of papers with ``id``."""
+def extract(papers: DataFrame, text: Column, lexicon: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
+    """(paper_id, ord, entity_type, name) of papers with ``id``.
+
+    A lexicon may be of any size: a frame (entity_type, name, ord), or a list beyond
+    what a pattern holds, is joined, with the same rows.
+    """
+    if isinstance(lexicon, DataFrame):
+        return join_lexicon(papers, text, lexicon)
+    if lexicon is not None and len(lexicon) > MAX_PATTERN_NAMES:
+        for _, name in lexicon:
+            _check(name)
+        rows = [(kind, name, number) for number, (kind, name) in enumerate(lexicon)]
+        frame = papers.sparkSession.createDataFrame(rows, "entity_type string, name string, ord int")
+        return join_lexicon(papers, text, frame)
     texts = spread(papers.select(F.col("id").alias("paper_id"), text.alias("text")))
     found = F.explode(find_entities(F.col("text"), lexicon)).alias("e")
     return texts.select("paper_id", found).select("paper_id", "e.ord", "e.entity_type", "e.name")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.model_output import extraction_prompt, parse_extraction
+from quire.functions.text import is_blank
 from quire.operators import gazetteer
 from quire.plans.answers import UNAVAILABLE_MODEL, Backend, generate
 
@@ -100,7 +101,7 @@ def enrich(
 def run_stats(worklist: DataFrame, enriched: DataFrame, model_answers: DataFrame | None = None) -> DataFrame:
     """One row: papers processed and skipped, model hits and fallbacks, finds per type."""
     text = extraction_text(F.col("title"), F.col("abstract"))
-    blank = F.length(F.trim(text)) == 0
+    blank = is_blank(text)
     flagged = worklist.select(F.col("id").alias("paper_id"), blank.alias("blank"))
     if model_answers is not None:
         usable = model_answers.select("paper_id", parse_extraction(F.col("answer")).isNotNull().alias("usable"))

@@ -10,46 +10,75 @@ from pyspark.sql import functions as F
 
 from quire.model import TABLES
 from quire.operators import bm25, vectors
-from quire.operators.chunking import chunk_papers, number_chunks
-from quire.operators.pooling import upsert
+from quire.operators.chunking import chunk_papers, stable_chunk_ids
 from quire.plans import enrichment
 from quire.sources import store
 from quire.sources.store import TableStore
 
 
-def add_papers(tables: TableStore, incoming: DataFrame, order: str = "source_id") -> None:
-    """Append papers with new ids and their authors; loading a source twice changes nothing."""
-    known = tables.read("papers")
-    fresh = store.new_papers(known, incoming, order)
-    # Both appends see the table as it was before, so the authors of new papers
-    # are chosen first.
+STAGED = "staged_papers"
+
+
+def add_papers(tables: TableStore, incoming: DataFrame, order: str | None = None) -> None:
+    """Append papers with new ids and their authors; loading a source twice changes nothing.
+
+    Of several rows with one id the first counts, by ``order`` or else as they come.
+    The choice is written once, and both appends read it, so a paper and its authors
+    are always from the same row.
+    """
+    if order is None:
+        order = "load_order"
+        incoming = incoming.withColumn(order, F.monotonically_increasing_id())
+    tables.overwrite(STAGED, store.new_papers(tables.read("papers"), incoming, order))
+    fresh = tables.read(STAGED)
     rows = store.new_author_rows(tables.read("authors"), store.author_rows(fresh))
     tables.append("authors", rows.select(*TABLES["authors"].names))
     tables.append("papers", fresh.withColumn("created_at", F.current_timestamp()).select(*TABLES["papers"].names))
 
 
 def rebuild_chunks(tables: TableStore, strategy: str = "fixed") -> None:
-    """Replace all chunks."""
-    chunks = number_chunks(chunk_papers(tables.read("papers"), strategy))
+    """Replace all chunks; a chunk that did not change keeps its id."""
+    chunks = stable_chunk_ids(chunk_papers(tables.read("papers"), strategy))
     tables.overwrite("chunks", chunks.select(*TABLES["chunks"].names))
+    twice = tables.read("chunks").groupBy("id").count().filter("count > 1").head(1)
+    if twice:
+        raise ValueError(f"two chunks have the id {twice[0]['id']}")
 
 
 def rebuild_index(tables: TableStore, path: str, analyzer: str = "letters") -> None:
-    bm25.write_index(bm25.build_index(tables.read("chunks"), analyzer, id_column="id"), path)
+    chunks = tables.read("chunks")
+    bm25.write_index(bm25.build_index(chunks, analyzer, id_column="id"), path, version=chunks_version(chunks))
+
+
+def open_index(tables: TableStore, path: str) -> bm25.Bm25Index:
+    """The written index; one that was built from other chunks is refused."""
+    return bm25.read_index(tables.spark, path, version=chunks_version(tables.read("chunks")))
+
+
+def chunks_version(chunks: DataFrame) -> str:
+    """A digest of the set of chunks."""
+    row = chunks.agg(F.count("*").alias("n"), F.bit_xor("id").alias("x"), F.sum(F.col("id") % 1_000_003).alias("s")).first()
+    return f"{row['n']}-{row['x'] or 0}-{row['s'] or 0}"
+
+
+def pair_vectors(chunks: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors whose chunk is still there, and chunks that have none."""
+    kept = existing.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select(*existing.columns)
+    missing = chunks.join(existing.select(F.col("chunk_id").alias("id")), "id", "left_anti").select(*chunks.columns)
+    return kept, missing
 
 
 def embed_chunks(tables: TableStore, encoder: Callable[[list[str]], np.ndarray], only_new: bool = True) -> None:
-    """Add vectors of chunks that have none, or replace the vectors of all chunks."""
+    """Give every chunk its vector, and drop vectors of chunks that are gone.
+
+    Only chunks without a vector are encoded, or, with ``only_new`` off, all of them.
+    """
     chunks, existing = tables.read("chunks"), tables.read("embeddings")
-    if only_new:
-        chunks = chunks.join(existing.select(F.col("chunk_id").alias("id")), "id", "left_anti")
+    kept, missing = pair_vectors(chunks, existing if only_new else existing.limit(0))
     meta = tables.read("papers").select(F.col("id").alias("paper_id"), "title", "year", "venue")
-    encoded = vectors.encode(chunks, "chunk_text", encoder).join(meta, "paper_id")
+    encoded = vectors.encode(missing, "chunk_text", encoder).join(meta, "paper_id")
     rows = encoded.withColumnRenamed("id", "chunk_id").select(*TABLES["embeddings"].names)
-    if only_new:
-        tables.append("embeddings", rows)
-    else:
-        tables.overwrite("embeddings", upsert(existing, rows, "chunk_id"))
+    tables.overwrite("embeddings", kept.select(*TABLES["embeddings"].names).unionByName(rows))
 
 
 def update_full_texts(tables: TableStore, updates: DataFrame) -> None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,8 +13,6 @@ from pyspark.sql import types as T
 # limit takes the shuffled path instead.
 MAX_SMALL_ROWS = 200_000
 MAX_SMALL_BYTES = 64 * 1024 * 1024
-# A frame that cannot have more rows, by a limit in its plan, needs no measuring.
-PAGE_ROWS = 1_000
 
 
 def get_session(app: str = "quire", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,12 +41,6 @@ def is_small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS, max_bytes: int = MAX
 
     Reads at most ``max_rows + 1`` rows.
     """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if plan.nodeName() == "LocalRelation":
-        return plan.data().size() <= max_rows
-    bound = plan.maxRows()
-    if bound.isDefined() and bound.get() <= min(max_rows, PAGE_ROWS):
-        return True
     width = F.lit(0)
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
@@ -74,6 +69,12 @@ def broadcast_if_small(df: DataFrame, **limits: int) -> DataFrame:
     return F.broadcast(df) if is_small(df, **limits) else df
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the cluster shares; in a local one only where none is set."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quire-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Partitions for all cores before row-wise heavy work on a small input.
 

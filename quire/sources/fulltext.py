@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.ids import safe_file_name
-from quire.functions.text import clean_lines, has_text
+from quire.functions.text import clean_lines, has_text, strip
 
 MIN_PAGE_TEXT = 500
 MIN_TEI_TEXT = 200
 MIN_FILE_BYTES = 1000
-TEI = {"tei": "http://www.tei-c.org/ns/1.0"}
 
 
 def missing_full_text(papers: DataFrame) -> DataFrame:
@@ -49,7 +47,7 @@ def fetch(papers: DataFrame, transport: Callable[[str], bytes]) -> DataFrame:
                     small = len(content) < MIN_FILE_BYTES
                     rows.append((None, f"only {len(content)} bytes") if small else (content, None))
                 except Exception as error:
-                    rows.append((None, str(error)[:500]))
+                    rows.append((None, str(error)))
             yield pd.DataFrame(rows, columns=["content", "error"])
 
     got = papers.select("id", safe_file_name(F.col("id")).alias("file_name"), run(F.col("url")).alias("r"))
@@ -88,28 +86,40 @@ def text_of_pages(pages: Column) -> Column:
     return F.when(F.length(text) >= MIN_PAGE_TEXT, text)
 
 
-def tei_text(document: str | None) -> str | None:
-    """Abstract, then heading and paragraphs of every division, as plain text."""
-    if not document:
-        return None
-    try:
-        root = ElementTree.fromstring(document)
-    except ElementTree.ParseError:
-        return None
-    found = [root.find(".//tei:profileDesc/tei:abstract", TEI)]
-    texts = [" ".join(node.itertext()).strip() for node in found if node is not None]
-    for division in root.iterfind(".//tei:text/tei:body//tei:div", TEI):
-        heading = division.find("tei:head", TEI)
-        if heading is not None and heading.text:
-            texts.append(f"\n{heading.text.strip()}\n")
-        texts += [" ".join(p.itertext()).strip() for p in division.iterfind("tei:p", TEI)]
-    text = "\n\n".join(t for t in texts if t)
-    return text if len(text) > MIN_TEI_TEXT else None
-
-
-@F.pandas_udf(T.StringType())
-def text_of_tei(documents: pd.Series) -> pd.Series:
-    return documents.map(tei_text)
+# Characters that no document holds (Unicode keeps them free); they mark the texts of
+# blocks, which the path expression returns piece by piece.
+ABSTRACT_MARK, HEAD_MARK, BLOCK_END = "\ufdd0", "\ufdd1", "\ufdd2"
+TEI_BLOCKS = (
+    "//profileDesc/abstract//text() | //text/body//div/head/text() | //text/body//div/head/*[1]/preceding-sibling::text()"
+    " | //text/body//div/p//text()"
+)
+
+
+def text_of_tei(document: Column) -> Column:
+    """Abstract, headings and paragraphs of a TEI document as plain text.
+
+    One path expression returns their texts in document order.  Marks put into the
+    document before it is parsed tell where blocks begin and end, so texts of nested
+    tags stay in their block, joined by a space.  A heading counts up to its first
+    nested tag and stands between line ends.  Documents that are no well-formed XML and
+    results of MIN_TEI_TEXT characters or less give null.
+    """
+    marks = f"[{ABSTRACT_MARK}{HEAD_MARK}{BLOCK_END}]"
+    plain = F.regexp_replace(document, marks, "")
+    parsed = F.from_xml(plain, "struct<_corrupt_record:string>", {"mode": "PERMISSIVE"})
+    whole = parsed.isNotNull() & parsed["_corrupt_record"].isNull() & F.regexp_like(plain, F.lit(r"(?s)\A\s*<.*>\s*\z"))
+    marked = F.regexp_replace(plain, r"(<(?:p|abstract)(?:\s[^<>]*[^<>/])?>)", f"$1{ABSTRACT_MARK}")
+    marked = F.regexp_replace(marked, r"(<head(?:\s[^<>]*[^<>/])?>)", f"$1{HEAD_MARK}")
+    marked = F.regexp_replace(marked, r"(</(?:p|abstract|head)>)", f"{BLOCK_END}$1")
+    nodes = F.xpath(marked, F.lit(TEI_BLOCKS))
+    parts = F.split(F.array_join(nodes, " "), f"(?={ABSTRACT_MARK}|{HEAD_MARK})")
+
+    def block(part: Column) -> Column:
+        text = strip(F.regexp_replace(part, marks, ""))
+        return F.when(part.startswith(HEAD_MARK) & (text != ""), F.concat(F.lit("\n"), text, F.lit("\n"))).otherwise(text)
+
+    text = F.array_join(F.filter(F.transform(parts, block), lambda t: t != ""), "\n\n")
+    return F.when(whole, F.when(F.length(text) > MIN_TEI_TEXT, text))
 
 
 def update_full_text(papers: DataFrame, updates: DataFrame) -> DataFrame:

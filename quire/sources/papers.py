@@ -73,7 +73,7 @@ def with_text(df: DataFrame) -> DataFrame:
 
 def sample(df: DataFrame, n: int | None, key: str, seed: int = SAMPLE_SEED) -> DataFrame:
     """A random but repeatable choice of ``n`` rows, by the hash of their key."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n) if n is not None else df
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key))), key).limit(n) if n is not None else df
 
 
 def first(df: DataFrame, n: int | None, key: str) -> DataFrame:

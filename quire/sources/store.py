@@ -75,10 +75,13 @@ class TableStore:
 def new_papers(existing: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
     """Papers whose id is new; of several rows with one id the first by ``order``.
 
-    The grouping combines before the shuffle and replaces a window over the ids.
+    Equal places in the order are told apart by the rows' contents, so the result does
+    not depend on the partitioning.  The grouping combines before the shuffle and
+    replaces a window over the ids.
     """
     columns = [c for c in incoming.columns if c != "id"]
-    first = incoming.groupBy("id").agg(F.min_by(F.struct(*columns), order).alias("row")).select("id", "row.*")
+    place = F.struct(F.col(order).alias("place"), F.to_json(F.struct(*columns)).alias("row"))
+    first = incoming.groupBy("id").agg(F.min_by(F.struct(*columns), place).alias("row")).select("id", "row.*")
     return first.join(existing.select("id"), "id", "left_anti").select(*incoming.columns)
 
 
@@ -92,4 +95,5 @@ def author_rows(papers: DataFrame) -> DataFrame:
 def new_author_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Author rows whose (paper_id, position) is new, so loading twice changes nothing."""
     keys = ["paper_id", "position"]
-    return incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    first = incoming.groupBy(*keys).agg(F.min("name").alias("name")).select(*incoming.columns)
+    return first.join(existing.select(*keys), keys, "left_anti")

@@ -33,4 +33,4 @@ def enrich_stream(
 def read_entities(spark, output: str) -> DataFrame:
     """Entities written so far, one row per paper, type and name."""
     rows = spark.read.option("basePath", output).parquet(f"{output}/batch_id=*")
-    return rows.drop("batch_id").groupBy("paper_id", "entity_type", "name").agg(F.first("attr").alias("attr"))
+    return rows.drop("batch_id").groupBy("paper_id", "entity_type", "name").agg(F.min("attr").alias("attr"))

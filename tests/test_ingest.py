@@ -88,15 +88,18 @@ def test_files_and_work_list(spark, tmp_path):
     assert [r[0] for r in fulltext.work_list(todo, frame("a"), frame("b"), False).collect()] == ["c"]
 
 
-def test_tei():
-    filler = "word " * 50
+def test_tei(spark):
+    filler = "word " * 60
     tei = (
         '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><profileDesc><abstract><p>About <b>this</b></p></abstract></profileDesc>'
-        f"</teiHeader><text><body><div><head> Intro </head><p>First</p><p> </p><div><p>{filler}</p></div></div></body></text></TEI>"
+        f'</teiHeader><text><body><div><head n="1"> Intro <i>x</i></head><p>First</p><p/><p> </p><div><p>{filler}</p></div></div>'
+        "<div><head>Second &amp; last</head><p>a<ref>b</ref>c</p></div></body></text></TEI>"
     )
-    assert fulltext.tei_text(tei) == f"About  this\n\n\nIntro\n\n\nFirst\n\n{filler.strip()}"
-    assert fulltext.tei_text(tei.replace(filler, "x")) is None
-    assert fulltext.tei_text("<broken") is None and fulltext.tei_text(None) is None
+    cases = [tei, tei.replace(filler, "x"), "<broken", None, "", tei + " junk", tei.replace("</ref>", "")]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "k int, t string")
+    found = [r[1] for r in frame.select("k", fulltext.text_of_tei(F.col("t"))).orderBy("k").collect()]
+    assert found[0] == f"About  this\n\n\nIntro\n\n\nFirst\n\n{filler.strip()}\n\n\nSecond & last\n\n\na b c"
+    assert found[1:] == [None] * 6
 
 
 def test_evaluation_files(spark, tmp_path):
@@ -127,9 +130,10 @@ def test_corpus_tables(spark, publications, tmp_path):
     updates = spark.createDataFrame([("hf_acl_ocl::X1", "BERT " * 500)], "id string, full_text string")
     ingest.update_full_texts(tables, updates)
     ingest.rebuild_chunks(tables)
-    ingest.rebuild_chunks(tables)
     chunk_ids = sorted(r["id"] for r in tables.read("chunks").collect())
-    assert chunk_ids == [1, 2, 3, 4]
+    ingest.rebuild_chunks(tables)
+    assert chunk_ids == sorted(r["id"] for r in tables.read("chunks").collect())
+    assert len(set(chunk_ids)) == 4
     ingest.embed_chunks(tables, lambda texts: np.array([[len(t), 1.0] for t in texts]))
     ingest.embed_chunks(tables, lambda texts: 1 / 0)
     assert tables.read("embeddings").count() == 4
@@ -146,6 +150,54 @@ def test_corpus_tables(spark, publications, tmp_path):
     assert best["paper_id"] == "hf_acl_ocl::X1" and best["title"] == "E"
 
 
+def test_vectors_and_index_follow_the_chunks(spark, tmp_path):
+    """Papers are added and chunks rebuilt; no chunk gets the vector of another paper."""
+    tables = TableStore(spark, str(tmp_path / "corpus"))
+    tables.create()
+
+    def load(first, last):
+        rows = [(f"s::{k}", str(k), "s", f"T{k}", f"text {'x' * k}", [f"A{k}"], 2000 + k, "acl", None, None, None) for k in range(first, last)]
+        ingest.add_papers(tables, spark.createDataFrame(rows, (
+            "id string, source_id string, source string, title string, abstract string, authors array<string>, year int, "
+            "venue string, volume string, full_text string, url string"
+        )))
+        ingest.rebuild_chunks(tables)
+
+    def encode(texts):
+        return np.array([[len(t), 1.0] for t in texts])
+
+    load(0, 20)
+    ingest.embed_chunks(tables, encode)
+    index = str(tmp_path / "index")
+    ingest.rebuild_index(tables, index)
+    assert ingest.open_index(tables, index).analyzer == "letters"
+    load(20, 40)
+    with pytest.raises(ValueError, match="build it again"):
+        ingest.open_index(tables, index)
+    ingest.embed_chunks(tables, encode)
+    ingest.update_full_texts(tables, spark.createDataFrame([("s::3", "another text")], "id string, full_text string"))
+    ingest.rebuild_chunks(tables)
+    ingest.embed_chunks(tables, encode)
+    rows = tables.read("chunks").join(tables.read("embeddings").withColumnRenamed("chunk_id", "id").drop("paper_id", "chunk_type", "chunk_index"), "id").collect()
+    assert len(rows) == 40 == tables.read("embeddings").count()
+    for r in rows:
+        size = len(r["chunk_text"])
+        assert r["embedding"][0] / r["embedding"][1] == pytest.approx(size, rel=1e-3)
+
+
+def test_first_duplicate_wins(spark, tmp_path):
+    tables = TableStore(spark, str(tmp_path / "corpus"))
+    tables.create()
+    rows = [("s::1", "1", "s", t, "abstract", [a], 2000, "acl", None, None, None) for t, a in (("second name, first row", "Zoe"), ("a", "Ann"), ("b", "Bob"))]
+    schema = (
+        "id string, source_id string, source string, title string, abstract string, authors array<string>, year int, "
+        "venue string, volume string, full_text string, url string"
+    )
+    ingest.add_papers(tables, spark.createDataFrame(rows, schema).coalesce(1))
+    assert tables.read("papers").first()["title"] == "second name, first row"
+    assert [r["name"] for r in tables.read("authors").collect()] == ["Zoe"]
+
+
 def simulate(rows, limit, seconds):
     logs, out = {}, {}
     for client, request, at in sorted(rows, key=lambda r: (r[2], r[1])):
