@@ -20,14 +20,18 @@ range, whatever the sources are; a bucket's files follow each other in order.
 
 from __future__ import annotations
 
+import array
 import json
 import re
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +48,39 @@ DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 FILE_BYTES = 8 << 20  # a file is closed beyond this
 BUCKET_TEXT_BYTES = 64 << 20
-PIECES_HELD = 300_000  # encoded pieces that a worker remembers
+PIECES_HELD = 400_000  # encoded pieces that a worker remembers, in each of two generations
+ROWS_AT_ONCE = 1_000
+TEXT_AT_ONCE = 4 << 20  # characters; a longer text is alone
 # White space before which a text cannot be cut at a space without changing its pieces.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
+# Words of letters, each with a full stop or comma at most, between single spaces or line ends.
+_PROSE = r"\A\pL+[.,]?(?:[ \n]\pL+[.,]?)*\z"
+
+
+class Remembered(dict):
+    """Two generations of ids by piece: the younger fills up, then takes the older's place."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, pieces: list[str]) -> list[str]:
+        """Pieces known to neither generation; those of the older are taken over."""
+        out = []
+        for piece in pieces:
+            if piece not in self:
+                found = self.older.get(piece)
+                if found is None:
+                    out.append(piece)
+                else:
+                    self[piece] = found
+        return out
+
+    def age(self) -> None:
+        """Between texts only, when nothing is being looked up."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -54,7 +88,9 @@ class Encoder:
 
     The vocabulary is byte-level BPE: its pieces never reach across a space that
     follows and is followed by something else, so the ids of a text are those of
-    its pieces, each with the space before it.  Texts with other white space around
+    its pieces, each with the space before it.  Plain prose is cut further, into
+    letters, full stops or commas, and line ends, which the vocabulary's pattern keeps
+    apart as well; there are fewer different ones.  Texts with other white space around
     spaces, or with a string that the vocabulary treats specially, are encoded whole.
     """
 
@@ -63,38 +99,82 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = {2: "H", 4: "I"}[self.kind.itemsize]
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         config = json.loads(self.tokenizer.to_str())
         kind = (config.get("pre_tokenizer") or {}).get("type")
         self.by_piece = kind == "ByteLevel" and config.get("normalizer") is None and not config["pre_tokenizer"].get("add_prefix_space")
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 20_000):
-            some = pieces[k : k + 20_000]
-            found = self.tokenizer.encode_batch(some, add_special_tokens=False)
-            for piece, encoding in zip(some, found, strict=True):
-                self.known[piece] = np.array(encoding.ids, self.kind).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """Serialised ids of ``text``, without an end."""
-        if not text:
-            return b""
-        if not self.by_piece or _UNSAFE.search(text) or (self.special and self.special.search(text)):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        pieces = [first, *(" " + p for p in rest)] if first else [" " + p for p in rest]
-        new = [p for p in set(pieces) if p not in self.known]
-        if new:
-            if len(self.known) + len(new) > PIECES_HELD:
-                self.known.clear()
-                new = list(set(pieces))
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, pieces))
+        self.pieces = Remembered(PIECES_HELD)
+
+    def _serial(self, ids: list[int]) -> bytes:
+        return array.array(self.code, ids).tobytes()
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        new = self.pieces.missing(pieces)
+        for k in range(0, len(new), 10_000):
+            some = new[k : k + 10_000]
+            for piece, encoding in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                self.pieces[piece] = array.array(self.code, encoding.ids).tobytes()
+        found = list(map(self.pieces.__getitem__, pieces))
+        self.pieces.age()
+        return found
+
+    def _together(self, texts: list[str], prose: bool) -> list[bytes]:
+        """Ids of texts that can be cut: each different piece is looked up once."""
+        cut = pc.replace_substring(pa.array(texts, pa.large_string()), " ", "\0 ")
+        for mark in (".", ",") if prose else ():
+            cut = pc.replace_substring(cut, mark, "\0" + mark)
+        if prose:
+            cut = pc.replace_substring(cut, "\n", "\0\n\0")
+        lists = pc.split_pattern(cut, "\0")
+        coded = lists.flatten().dictionary_encode()
+        found = self._ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        data, first = np.frombuffer(b"".join(found), self.kind), np.cumsum(sizes) - sizes
+        place = coded.indices.to_numpy()
+        n = sizes[place]
+        ends = np.cumsum(n)
+        ids = data[np.arange(n.sum()) - np.repeat(ends - n - first[place], n)]
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Serialised ids of each text, without an end."""
+        out: list[bytes] = [b""] * len(texts)
+        prose, other = [], []
+        plain = pc.match_substring_regex(pa.array(texts, pa.large_string()), _PROSE).to_pylist()
+        for k, text in enumerate(texts):
+            if self.by_piece and plain[k]:
+                prose.append(k)
+            elif not self.by_piece or "\0" in text or _UNSAFE.search(text) or (self.special and self.special.search(text)):
+                out[k] = self._serial(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            else:
+                other.append(k)
+        for group, is_prose in ((prose, True), (other, False)):
+            if group:
+                for k, ids in zip(group, self._together([texts[k] for k in group], is_prose), strict=True):
+                    out[k] = ids
+        return out
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a vocabulary, kept from task to task."""
+    kept = sys.modules.setdefault("_token_store_encoders", types.ModuleType("_token_store_encoders"))
+    if path not in vars(kept):
+        setattr(kept, path, Encoder(path))
+    return getattr(kept, path)
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of some rows at a time, so that a task holds few texts as strings."""
+    first = 0
+    sizes = pc.binary_length(batch.column(column)).to_numpy()
+    while first < batch.num_rows:
+        reach = np.cumsum(sizes[first : first + ROWS_AT_ONCE])
+        n = max(1, int(np.searchsorted(reach, TEXT_AT_ONCE)))
+        yield first, batch.column(column).slice(first, n).to_pylist()
+        first += n
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -107,10 +187,11 @@ def train_dictionary(rows: DataFrame, vocabulary: str, total: int) -> bytes:
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(chance * (1 << 30)) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary)
+        encode = encoder(vocabulary)
         for batch in batches:
-            found = [encode(t)[:SAMPLE_BYTES] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["ids"])
+            for _, texts in _slices(batch, 1):
+                found = [ids[:SAMPLE_BYTES] for ids in encode(texts)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["ids"])
 
     samples = sorted(bytes(r["ids"]) for r in drawn.mapInArrow(run, "ids binary").limit(2 * SAMPLE_DOCUMENTS).collect())
     samples = [s for s in samples if s]
@@ -160,7 +241,8 @@ def write_tokens(
     rows = _rows(docs, doc_id, text)
     size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     dictionary = train_dictionary(rows, vocabulary, size["n"])
-    write_file(f"{folder}/dictionary-{dictionary_hash(dictionary)}.zdict", [dictionary])
+    # The mark keeps an empty dictionary from being an empty file, which readers pass over.
+    write_file(f"{folder}/dictionary-{dictionary_hash(dictionary)}.zdict", [MAGIC, dictionary])
     wanted = max(1, (size["bytes"] or 0) // BUCKET_TEXT_BYTES, min(spark.sparkContext.defaultParallelism, size["n"]))
     shares = [k / wanted for k in range(1, wanted)]
     # Bounds from the ids of all documents; the texts are not read for this.
@@ -168,25 +250,24 @@ def write_tokens(
     shared = spark.sparkContext.broadcast((dictionary, np.array([int(b) for b in bounds], np.int64)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = Encoder(vocabulary)
+        encode_texts = encoder(vocabulary)
         dictionary, bounds = shared.value
         packer = _compressor(dictionary)
-        end = np.array([end_id], encode_text.kind).tobytes()
+        end = np.array([end_id], encode_texts.kind).tobytes()
         for batch in batches:
-            ids = batch.column(0)
-            bucket = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
-            counts, frames = [], []
-            for t in batch.column(1).to_pylist():
-                data = encode_text(t) + end
-                counts.append(len(data) // encode_text.kind.itemsize)
-                frames.append(packer.compress(data))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket, pa.int32()), ids, pa.array(counts, pa.int64()), pa.array(frames, pa.binary())],
-                ["bucket", "doc_id", "ids", "frame"],
-            )
+            for first, texts in _slices(batch, 1):
+                ids = batch.column(0).slice(first, len(texts))
+                bucket = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
+                data = [d + end for d in encode_texts(texts)]
+                counts = [len(d) // encode_texts.kind.itemsize for d in data]
+                frames = [packer.compress(d) for d in data]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket, pa.int32()), ids, pa.array(counts, pa.int64()), pa.array(frames, pa.binary())],
+                    ["bucket", "doc_id", "ids", "frame"],
+                )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = Encoder(vocabulary).kind
+        kind = encoder(vocabulary).kind
         dictionary, _ = shared.value
         entries, frames, held, done, bucket, n, start = [], [], 0, [], None, 0, 0
 
@@ -268,7 +349,7 @@ class Reader:
 
 
 def read_dictionary(spark: SparkSession, folder: str) -> bytes:
-    return bytes(spark.read.format("binaryFile").load(f"{folder}/dictionary-*.zdict").select("content").first()[0])
+    return bytes(spark.read.format("binaryFile").load(f"{folder}/dictionary-*.zdict").select("content").first()[0])[len(MAGIC) :]
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
