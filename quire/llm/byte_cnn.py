@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.registry import query, table
+from quire.llm.words import slices
 
 LENGTH = 128  # bytes of a window
 WIDTHS = (2, 3, 4)
@@ -199,7 +200,7 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             best, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             for k, total in mean_probabilities(net, tables, texts):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.registry import query, table
 from quire.llm.shared import cut
-from quire.llm.words import shingle_sets, texts_of
+from quire.llm.words import shingle_sets, slices, texts_of
 from quire.session import broadcast_if_small
 
 WIDTH = 5
@@ -148,7 +148,7 @@ def find_items(
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             probe = Block(*block.value, width, threshold)
-            for batch in batches:
+            for batch in slices(batches):
                 keys, documents = batch.column(0).to_pylist(), texts_of(batch.column(1))
                 rows = []
                 for k, hashes in enumerate(shingle_sets(documents, width)):

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quire.llm.elias_fano import EliasFano, encode, read_arrays, write_arrays
 from quire.llm.registry import query, table
 from quire.llm.shared import new_folder
-from quire.llm.words import texts_of, word_hashes
+from quire.llm.words import slices, texts_of, word_hashes
 
 END = np.int64(0x5E9D_0F_D0C)  # stands for the end of a text
 BITS = 31  # of a place in a level: up to 2**31 words seen twice, pairs and triples
@@ -80,7 +80,7 @@ def _counted(docs: DataFrame, name: str, prepare: Callable[[], Callable]) -> Dat
             for k in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(counts[k : k + 100_000])], [name, "c"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for tokens, bounds in token_groups(texts_of(batch.column(0))):
                 found = keys_of(tokens, bounds)
                 waiting.append(found)
@@ -501,7 +501,7 @@ def score_texts(docs: DataFrame, folder: str, parts: int = 5, part: int = 1, doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             found = [(np.diff(b), *scorer(t, b)) for t, b in token_groups(texts_of(batch.column(2)))]
             if not found:
                 continue

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.words import SPACES, shingle_hashes, word_hashes
+from quire.llm.words import SPACES, shingle_hashes, slices, word_hashes
 
 COUNTS = (
     "n_chars n_bytes n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words n_distinct_words "
@@ -72,7 +72,7 @@ def text_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """One row of ``COUNTS`` per row of ``docs``; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield _count_batch(batch)
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from quire.llm.shared import LOCAL_BATCH_BYTES
 
@@ -149,6 +150,16 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
                 yield np.empty(0, np.uint64)
 
 
+ROWS_AT_ONCE = 500
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts at a time are held as Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(k, ROWS_AT_ONCE)
+
+
 def texts_of(column) -> list[bytes]:
     """Bytes of an Arrow string column; null counts as empty."""
     return [b"" if t is None else t.encode() for t in column.to_pylist()]
