@@ -6,18 +6,23 @@ within a class.  Two linked sets share at least k shingles among the first
 |x| - ceil(0.75 |x|) + k of either, the k-extended prefix.  With k = 2, a linked pair
 therefore shares either a rare shingle of the prefix or two frequent ones, so it is
 enough to index the rare shingles of the prefix singly and the frequent ones by pairs.
+Keys carry their place in the set: two sets of known sizes need a key further ahead
+than the prefix alone says.
 A passage that very many documents hold is frequent: it stands behind the rare
 shingles, mostly outside the prefix, and never makes a group of all its documents.
 
-The frequent class are the shingles that some task met in many different sets.  Any
-class gives the same links; only the size of the groups depends on it.
-
-Copies are merged first: documents with equal sets are one node.  Within a group of an
-index key each node is first tried against the smallest one.  What this links is one
-component already, however large a group of near copies is, and only pairs of nodes of
-one key that are in different components by then are tried in a second step.  So no
-link between components is lost, and no group emits all its pairs unless its members
-are not alike.  All pairs are verified on whole sets.
+Copies are merged first: documents with equal sets are one node.  With all shingles
+indexed singly, each node is tried against the head it shares most keys with, the
+smallest node of a key's group.  What this links is one component already, however
+large a group of near copies is; it needs no further pairs among its members.  Some
+rounds like it follow in groups that are still dense.  The
+frequent class are the shingles whose groups still hold many pairs from different
+components: passages that unlike documents share.  With that class the index is built
+again, and the pairs of one key in different components are tried.  Any class gives the
+same links; only the number of candidates depends on it.  All pairs are verified on
+whole sets, after bitmaps of the sets have ruled out most others, so no link between
+components is lost, and no group emits all its pairs
+unless its members are not alike.
 """
 
 from __future__ import annotations
@@ -26,20 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
 from quire.llm.registry import query, table
-from quire.llm.shared import cut
-from quire.llm.words import mix, shingle_sets, texts_of
+from quire.llm.shared import cut, stored
+from quire.llm.words import mix, shingle_sets, slices, texts_of
 from quire.session import broadcast_if_small
 
 WIDTH = 5
 THRESHOLD = 75  # per cent
 COMBINATION = 2
-# Sets that one task must hold a shingle in before it counts as frequent.
-FREQUENT_IN_TASK = 200
+# A shingle is frequent when its index group holds more pairs from different components.
+MOST_PAIRS = 50
+# Rounds in which nodes of dense groups are tried against some nodes of the largest
+# component, before all that is left is tried; they change the work, not the links.
+ROUNDS, TRIES = 2, 8
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,23 +56,38 @@ def prefix_length(size: int, threshold: int = THRESHOLD, k: int = COMBINATION) -
     return min(size, size - -(-threshold * size // 100) + k)
 
 
-def index_keys(hashes: np.ndarray, frequent: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
-    """Index keys of a set: rare shingles of the prefix, and pairs of frequent ones.
+def index_keys(hashes: np.ndarray, frequent: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set, rare shingles of the prefix and pairs of frequent ones, with their places.
 
-    A set of one shingle links with equal sets only, which are merged already.
+    The place of a pair is that of its second shingle.  A set of one shingle links with
+    equal sets only, which are merged already.
     """
     length = prefix_length(len(hashes), threshold)
     if len(frequent) == 0:
-        return hashes[:length]
+        return hashes[:length], np.arange(length)
     place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
     common = frequent[place] == hashes
     rare = hashes[~common][:length]
     often = hashes[common][: length - len(rare)]
     if len(often) < COMBINATION:
-        return rare
+        return rare, np.arange(len(rare))
     first, second = np.triu_indices(len(often), 1)
     with np.errstate(over="ignore"):
-        return np.concatenate([rare, mix(mix(often[first]) * SEED + often[second])])
+        pairs = mix(mix(often[first]) * SEED + often[second])
+    return np.concatenate([rare, pairs]), np.concatenate([np.arange(len(rare)), len(rare) + second])
+
+
+def may_link(a: str, b: str, threshold: int) -> Column:
+    """Whether sets of sizes ``n_a`` and ``n_b`` that share a key at ``pos_a`` and ``pos_b`` can link.
+
+    Linked sets share at least s = ceil(t (n_a + n_b) / (1 + t)) shingles, so two of
+    these are among the first n - s + 2 of either set.
+    """
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    shared = F.floor((threshold * (n_a + n_b) + (99 + threshold)) / (100 + threshold))
+    sizes = 100 * F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b)
+    reach = COMBINATION - 1
+    return sizes & (F.col(f"pos_{a}") <= n_a - shared + reach) & (F.col(f"pos_{b}") <= n_b - shared + reach)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -85,106 +108,131 @@ def signature(hashes: np.ndarray) -> bytes:
     return one.tobytes() + two.tobytes()
 
 
-def sketches(docs: DataFrame, threshold: int) -> DataFrame:
-    """``doc_id, n_shingles, sig, prefix``: the k-extended prefix in order of hash."""
+def signed_sets(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, sig`` of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, sigs, prefixes = [], [], []
+        for batch in slices(batches):
+            sizes, sigs = [], []
             for hashes in shingle_sets(texts_of(batch.column(1)), WIDTH):
                 sizes.append(len(hashes))
                 sigs.append(signature(hashes))
-                prefixes.append(hashes[: prefix_length(len(hashes), threshold)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), _lists(prefixes)],
-                ["doc_id", "n_shingles", "sig", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "sig"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary")
 
 
-def frequent_shingles(sets: DataFrame, least: int) -> DataFrame:
-    """``(token)``: shingles of prefixes that at least ``least`` different sets of one task hold."""
+def keyed_sets(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
+    """``doc_id, n, keys, places`` of each document, with the frequent class set apart."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        waiting: list[np.ndarray] = []
-        tokens, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def settle() -> None:
-            nonlocal tokens, counts
-            new, n = np.unique(np.concatenate(waiting), return_counts=True)
-            # A shingle met once in a stretch is let go: it is far from frequent there.
-            new, n = new[n > 1], n[n > 1]
-            both = np.concatenate([tokens, new])
-            tokens, at = np.unique(both, return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(tokens)).astype(np.int64)
-            waiting.clear()
-
-        held = 0
-        for batch in batches:
-            sigs, lists = batch.column(0).to_pylist(), batch.column(1)
-            for sig, k in zip(sigs, range(len(sigs)), strict=True):
-                if sig not in seen:
-                    seen.add(sig)
-                    waiting.append(np.asarray(lists[k].values))
-                    held += len(waiting[-1])
-            if held > 2_000_000:
-                settle()
-                held = 0
-        if waiting:
-            settle()
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[counts >= least])], ["token"])
-
-    return sets.filter("n_shingles > 1").select("sig", "prefix").mapInArrow(run, "token long").distinct()
+        for batch in slices(batches):
+            sizes, keys, places = [], [], []
+            for hashes in shingle_sets(texts_of(batch.column(1)), WIDTH):
+                found, at = index_keys(hashes, shared.value, threshold)
+                sizes.append(len(hashes))
+                keys.append(found)
+                places.append(at)
+            flat = pa.array(np.concatenate(places).astype(np.int32))
+            lists = _lists(keys)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int32()), lists, pa.ListArray.from_arrays(lists.offsets, flat)],
+                ["doc_id", "n", "keys", "places"],
+            )
 
+    return docs.mapInArrow(run, "doc_id long, n int, keys array<long>, places array<int>")
 
-def keyed_sets(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
-    """``doc_id, keys`` of the given documents, with the frequent class set apart."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [index_keys(h, shared.value, threshold) for h in shingle_sets(texts_of(batch.column(1)), WIDTH)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(keys)], ["doc_id", "keys"])
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A bit for each shingle's hash, in at least four times as many bits as there are shingles."""
+    size = 1 << max(6, int(4 * len(hashes) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def shared_at_most(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
+    """Upper bound of the intersection: each bit that only one set has stands for a shingle that only it has."""
+    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(u) > len(v):  # the low bits of a hash are the same in maps of any size
+        u = u[: len(u) // 2] | u[len(u) // 2 :]
+    while len(v) > len(u):
+        v = v[: len(v) // 2] | v[len(v) // 2 :]
+    only_x, only_y = int(np.bitwise_count(u & ~v).sum()), int(np.bitwise_count(v & ~u).sum())
+    return min(n_x - only_x, n_y - only_y)
+
+
+# Pairs that share the sets of their first document in one task.
+PAIRS_AT_ONCE = 256
+
+
+def beside_heads(pairs: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
+    """``a, g, role, doc_id`` and the columns of ``values(doc_id, ...)``, each b of an a right after its a.
+
+    Pairs of one a are dealt into groups g of about PAIRS_AT_ONCE; an a with more pairs
+    is sent to several groups, so it is no hot key.
+    """
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).alias("groups"))
+    dealt = pairs.join(broadcast_if_small(groups), "a")
+    members = dealt.select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "groups").alias("g"), F.lit(1).alias("role"))
+    heads = members.select(F.col("a").alias("doc_id"), "a", "g").distinct().withColumn("role", F.lit(0))
+    rows = values.join(broadcast_if_small(members.unionByName(heads)), "doc_id").select("a", "g", "role", "doc_id", *columns)
+    return rows.repartition("a", "g").sortWithinPartitions("a", "g", "role")
+
 
-    return docs.mapInArrow(run, "doc_id long, keys array<long>")
+def possible(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps of their sets do not rule out; no link is lost."""
+    wanted = broadcast_if_small(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [(len(h), bitmap(h)) for h in shingle_sets(texts_of(batch.column(1)), WIDTH)]
+            arrays = [batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([b for _, b in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "bits"])
 
-def whole_sets(docs: DataFrame) -> DataFrame:
-    """``node, set``: all shingles of the given documents."""
+    marked = docs.join(wanted, "doc_id", "left_semi").mapInArrow(mark, "doc_id long, n long, bits binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, x, n_x = None, b"", 0
         for batch in batches:
-            sets = list(shingle_sets(texts_of(batch.column(1)), WIDTH))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], ["node", "set"])
+            keep = []
+            for a, g, role, b, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if role == 0:
+                    head, x, n_x = (a, g), bits, n
+                elif head == (a, g):
+                    shared = shared_at_most(x, n_x, bits, n)
+                    if 100 * shared >= threshold * (n_x + n - shared):
+                        keep.append((a, b))
+            columns = list(zip(*keep, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    return docs.mapInArrow(run, "node long, set array<long>")
+    return beside_heads(pairs, marked, ["n", "bits"]).mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link, by their whole sets."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(whole_sets(docs.join(broadcast_if_small(cut(wanted)), "doc_id", "left_semi")))
-    # A node is one text here, whatever its number of rows.
-    sets = sets.dropDuplicates(["node"])
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    """The pairs (a, b) of documents that link: bitmaps rule most others out, whole sets decide."""
+    pairs = cut(possible(cut(pairs), docs, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        head, x = None, np.empty(0, np.uint64)
+        for batch in slices(batches):
+            a, g, role, ids = (batch.column(k).to_pylist() for k in range(4))
             keep = []
-            for k in range(batch.num_rows):
-                x, y = (np.asarray(batch.column(c)[k].values).view(np.uint64) for c in (2, 3))
-                shared = 0
-                if len(x) and len(y):
+            for k, y in enumerate(shingle_sets(texts_of(batch.column(4)), WIDTH)):
+                if role[k] == 0:
+                    head, x = (a[k], g[k]), y.copy()
+                elif head == (a[k], g[k]) and len(x) and len(y):
                     place = np.minimum(np.searchsorted(y, x), len(y) - 1)
                     shared = int((y[place] == x).sum())
-                keep.append(100 * shared >= threshold * (len(x) + len(y) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                    if 100 * shared >= threshold * (len(x) + len(y) - shared):
+                        keep.append(k)
+            links = [pa.array([v[k] for k in keep], pa.int64()) for v in (a, ids)]
+            yield pa.RecordBatch.from_arrays(links, ["a", "b"])
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return beside_heads(pairs, docs, ["text"]).mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(
@@ -192,7 +240,7 @@ def jaccard_components(
     doc_id: str = "doc_id",
     text: str = "text",
     threshold: int = THRESHOLD,
-    frequent_in_task: int = FREQUENT_IN_TASK,
+    most_pairs: int = MOST_PAIRS,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``.
 
@@ -204,48 +252,86 @@ def jaccard_components(
     out once each.  Ids must name one text; other columns are not read.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    base = cut(sketches(source, threshold))
-    nodes = base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("prefix").alias("keys")
-    )
-    frequent = cut(frequent_shingles(base, frequent_in_task))
-    singles = nodes.filter("n > 1")
-    common = held_tokens(frequent)
-    if common is not None and len(common):
-        singles = cut(singles)
-        mixed = singles.select("node", F.explode("keys").alias("token")).join(
-            broadcast_if_small(frequent), "token", "left_semi"
+    base = stored(signed_sets(source))
+    nodes = base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig")
+    nodes = stored(nodes.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")))
+    # Copies and texts that only equal texts can link with stay out of the index.
+    others = base.select("doc_id").join(nodes.filter("n > 1").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    others = broadcast_if_small(cut(others.filter("doc_id IS NOT NULL").distinct()))
+    def indexed(frequent: np.ndarray) -> DataFrame:
+        """``key, node, pos, n, head, pos_h, n_h`` of keys that several nodes have; head is the smallest of them."""
+        keyed = keyed_sets(source, frequent, threshold).filter("doc_id IS NOT NULL").join(others, "doc_id", "left_anti")
+        # Size and place travel as one number.
+        spot = F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")
+        keyed = keyed.select("doc_id", "n", F.posexplode("keys").alias("i", "key"), "places").withColumn("at", F.get("places", F.col("i")))
+        keyed = keyed.select("key", F.col("doc_id").alias("node"), spot.alias("spot"))
+        group = Window.partitionBy("key")
+        keyed = keyed.withColumn("h", F.min(F.struct("node", "spot")).over(group)).withColumn("last", F.max("node").over(group))
+        size = lambda c: F.shiftright(c, 32).cast("int")
+        place = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        return stored(
+            keyed.filter("h.node <> last").select(
+                "key", "node", place("spot").alias("pos"), size("spot").alias("n"),
+                F.col("h.node").alias("head"), place("h.spot").alias("pos_h"), size("h.spot").alias("n_h"),
+            )
+        )
+
+    index = indexed(np.empty(0, np.uint64))
+    # The head that a node shares most keys with: what links here is one component.
+    heads = index.filter("head <> node").select(
+        F.col("head").alias("a"), F.col("pos_h").alias("pos_a"), F.col("n_h").alias("n_a"),
+        F.col("node").alias("b"), F.col("pos").alias("pos_b"), F.col("n").alias("n_b"),
+    )
+    heads = heads.filter(may_link("a", "b", threshold)).groupBy("a", "b").agg(F.count("*").alias("keys"))
+    heads = heads.groupBy("b").agg(F.min(F.struct(-F.col("keys"), "a")).alias("best"))
+    heads = cut(heads.select(F.col("best.a").alias("a"), "b"))
+    links = cut(verified(heads, source, threshold))
+
+    def by_component(index: DataFrame) -> DataFrame:
+        """``key, pos, node, n, component`` of the keys whose nodes are in different components."""
+        placed = index.select("key", "pos", "node", "n").join(broadcast_if_small(labels), "node", "left")
+        placed = placed.withColumn("component", F.coalesce("component", "node"))
+        group = Window.partitionBy("key")
+        placed = placed.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group))
+        return stored(placed.filter("lo <> hi").drop("lo", "hi"))
+
+    for turn in range(ROUNDS + 1):
+        labels = cut(connected_components(links))
+        placed = by_component(index)
+        parts = cut(placed.groupBy("key", "component").agg(F.count("*").alias("n")))
+        dense = parts.groupBy("key").agg(
+            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"),
+            F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("largest"),
         )
-        mixed = broadcast_if_small(cut(mixed.select("node").distinct()))
-        texts = source.join(mixed.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        again = keyed_sets(texts, common, threshold).select(F.col("doc_id").alias("node"), "keys")
-        sizes = singles.select("node", "n")
-        plain = singles.join(mixed, "node", "left_anti").select("node", "n", "keys")
-        singles = plain.unionByName(again.join(sizes, "node").select("node", "n", "keys"))
-    keyed = singles.select(F.explode("keys").alias("key"), "node", "n")
-    # Keys of one set only are of no use; what is left is a small part of the index.
-    groups = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("head")).filter("members > 1")
-    index = cut(keyed.join(groups, "key"))
-    heads = index.select(F.col("head").alias("a"), F.col("node").alias("b"), "n").filter("a <> b").distinct()
-    sizes = index.select(F.col("node").alias("a"), F.col("n").alias("n_a")).distinct()
-    fits = (100 * F.least("n", "n_a") >= threshold * F.greatest("n", "n_a"))
-    first = cut(verified(heads.join(sizes, "a").filter(fits).select("a", "b"), source, threshold))
-    labels = connected_components(first)
-    # Members of one key in different components; a node without a link is its own.
-    placed = index.select("key", "node", "n").join(labels, "node", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "node"))
-    spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    placed = cut(placed.join(spread.select("key"), "key", "left_semi"))
-    left = placed.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = placed.select("key", F.col("node").alias("b"), "n", F.col("component").alias("c_b"))
-    rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits)
-    tried = heads.select("a", "b")
-    rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    second = verified(rest, source, threshold)
-    labels = connected_components(first.unionByName(second))
-    by_sig = nodes.select("sig", "node").join(labels, "node", "left")
-    by_sig = by_sig.select("sig", F.coalesce("component", "node").alias("component_id"))
-    out = base.select("doc_id", "n_shingles", "sig").join(by_sig, "sig", "left")
+        dense = cut(dense.filter(F.col("pairs") > most_pairs).select("key", (-F.col("largest.c")).alias("main")))
+        if turn == ROUNDS or dense.isEmpty():
+            break
+        # Near copies that their head did not link: each is tried against some nodes of
+        # the largest component of its keys, others in every round.
+        chance = F.xxhash64("key", "node", F.lit(turn))
+        inside = placed.join(dense, "key")
+        chosen = inside.filter("component = main").groupBy("key").agg(F.min(F.struct(chance.alias("x"), "node", "pos", "n")).alias("h"))
+        chosen = chosen.select("key", F.col("h.node").alias("a"), F.col("h.pos").alias("pos_a"), F.col("h.n").alias("n_a"))
+        outside = inside.filter("component <> main").select(
+            F.col("key").alias("k"), F.col("node").alias("b"), F.col("pos").alias("pos_b"), F.col("n").alias("n_b")
+        )
+        tries = outside.join(chosen, (F.col("k") == F.col("key")) & may_link("a", "b", threshold))
+        tries = tries.groupBy("a", "b").agg(F.count("*").alias("keys"))
+        order = Window.partitionBy("b").orderBy(F.desc("keys"), F.xxhash64("a", "b", F.lit(turn)))
+        tries = tries.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TRIES).select("a", "b")
+        links = cut(links.unionByName(verified(tries, source, threshold)))
+    frequent = held_tokens(dense.select(F.col("key").alias("token")))
+    if len(frequent):
+        placed = by_component(indexed(frequent))
+    left, right = (
+        placed.select(F.col("key").alias(f"key_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "pos", "n", "component"))) for x in "ab"
+    )
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+    rest = left.join(right, (F.col("key_a") == F.col("key_b")) & apart & may_link("a", "b", threshold))
+    rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    labels = connected_components(links.unionByName(verified(rest, source, threshold)))
+    by_sig = nodes.join(labels, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
+    out = base.join(by_sig, "sig", "left")
     alone = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id"))
 
@@ -253,13 +339,13 @@ def jaccard_components(
 MOST_FREQUENT = 4_000_000
 
 
-def held_tokens(frequent: DataFrame) -> np.ndarray | None:
-    """The frequent class in order of hash, or None where it is too large to hold.
+def held_tokens(frequent: DataFrame) -> np.ndarray:
+    """The frequent class in order of hash; empty where it is too large to hold.
 
     Without a class all shingles are indexed singly, which finds the same links.
     """
     if frequent.count() > MOST_FREQUENT:
-        return None
+        return np.empty(0, np.uint64)
     found = frequent.toArrow().column("token").to_numpy().view(np.uint64)
     return np.sort(found)
 
