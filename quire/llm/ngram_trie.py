@@ -6,8 +6,9 @@ The model is an interpolated trigram model with absolute discounting:
     P(w|v)   = (c(vw) - D2) / c(v)   + g(v)  P(w)
     P(w|uv)  = (c(uvw) - D3) / c(uv) + g(uv) P(w|v)
 
-The first part of a line is there only for n-grams seen at least twice; g is what the
-seen ones leave, so each line sums to 1.  D is n1 / (n1 + 2 n2) of each order.
+The first part of a line is there for the n-grams that the model keeps; g is what these
+leave, so each line sums to 1.  D is n1 / (n1 + 2 n2) of each order.  With least = 1, as
+the query has it, every n-gram of the training rows is kept.
 
 The trie has three levels, built by Spark jobs that count, range-partition and sort the
 n-grams: words by hash, then the successors of each word, then the successors of each
@@ -17,8 +18,10 @@ sequences; discounted probabilities and weights g are quantised to a byte.  A th
 is stored as its place among the successors of the second, which is a small number, and
 is looked up by successor search for that place.
 
-Scoring tasks map the files into memory and touch the pages they need.  Counting drops
-what cannot occur twice early: pairs of words seen once, and triples without both pairs.
+Scoring tasks map the files into memory and touch the pages they need.  A pruned model
+keeps pairs and triples seen ``least`` times or more.  Its counting drops what cannot
+occur so often early (pairs of words and triples of pairs that are not kept), so that its
+discounts come from the rest.
 """
 
 from __future__ import annotations
@@ -37,9 +40,9 @@ from quire.llm.shared import new_folder
 from quire.llm.words import slices, texts_of, word_hashes
 
 END = np.int64(0x5E9D_0F_D0C)  # stands for the end of a text
-BITS = 31  # of a place in a level: up to 2**31 words seen twice, pairs and triples
+BITS = 31  # of a child in a key: up to 2**31 words, and 2**32 pairs as parents; triples are none
 FILE_KEYS = 2_000_000
-LEAST = 2  # count from which pairs and triples are kept
+LEAST = 2  # count from which a pruned model keeps pairs and triples
 GROUP_TOKENS = 150_000
 HELD_KEYS = 3_000_000
 CODES = 256
@@ -102,9 +105,16 @@ def _discount(n1: int, n2: int) -> float:
 
 
 def _codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes for positive values, and the value of each byte, by quantiles of the logarithms."""
+    """Bytes for positive values, and the value of each byte.
+
+    Half of the codes are quantiles of the logarithms.  The others are an even grid over
+    them, as most values of a whole model are one of few and leave the rest no quantile.
+    """
     logs = np.log(values)
-    book = np.unique(np.quantile(logs, (np.arange(CODES) + 0.5) / CODES)) if len(logs) else np.zeros(1)
+    half = CODES // 2
+    book = np.zeros(1)
+    if len(logs):
+        book = np.unique(np.concatenate([np.quantile(logs, (np.arange(half) + 0.5) / half), np.linspace(logs.min(), logs.max(), half)]))
     middles = (book[1:] + book[:-1]) / 2
     return np.searchsorted(middles, logs).astype(np.uint8), np.exp(book).astype(np.float64)
 
@@ -121,7 +131,7 @@ class Files:
 
 
 class Words:
-    """The first level: words seen twice or more with their counts, and words seen once."""
+    """The first level: words seen ``least`` times or more with their counts, and of a pruned model words seen once."""
 
     def __init__(self, files: Files) -> None:
         self.parts = [read_arrays(p)[1] for p in files.paths]
@@ -140,7 +150,7 @@ class Words:
                 yield k, order[cuts[k] : cuts[k + 1]]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each word among those seen twice or more, else -1."""
+        """Number of each word among the kept ones, else -1."""
         out = np.full(len(hashes), -1, np.int64)
         for k, at in self._by_file(self.first, hashes):
             words = self.parts[k]["words"]
@@ -158,7 +168,7 @@ class Words:
         return out
 
     def once(self, hashes: np.ndarray) -> np.ndarray:
-        """Whether each word was seen exactly once."""
+        """Whether each word was seen once and is not kept."""
         out = np.zeros(len(hashes), bool)
         for k, at in self._by_file(self.first, hashes):
             words = self.parts[k]["once"]
@@ -267,7 +277,7 @@ class Model:
     triples: Files
 
 
-def _write_words(counted: DataFrame, folder: str, distinct: int) -> Files:
+def _write_words(counted: DataFrame, folder: str, distinct: int, least: int) -> Files:
     files = max(1, -(-distinct // FILE_KEYS))
     # Hashes are spread evenly, so equal ranges are equal shares.
     bucket = F.floor((F.shiftright("w", 40) + F.lit(1 << 23)) * files / F.lit(1 << 24)).cast("int")
@@ -279,7 +289,7 @@ def _write_words(counted: DataFrame, folder: str, distinct: int) -> Files:
             at, w, c = (np.concatenate(x) for x in zip(*parts, strict=True))
             for k in np.unique(at).tolist():
                 words, counts = w[at == k], c[at == k]
-                often = counts >= LEAST
+                often = counts >= least
                 path = f"{folder}/words-{k:06d}"
                 write_arrays(path, {}, {"words": words[often], "counts": counts[often], "once": words[~often]})
                 made.append((k, path, int(often.sum()), int(words[0])))
@@ -380,8 +390,18 @@ def pair_places(level: Level, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, folder: str) -> Model:
-    """Build the trie of ``docs(text)`` below ``folder``; three counting passes over the texts."""
+def _fits(entries: int, bits: int, name: str) -> None:
+    if entries >= 1 << bits:
+        raise ValueError(f"{entries} {name} are too many for keys of {bits} bits")
+
+
+def train(docs: DataFrame, folder: str, least: int = LEAST) -> Model:
+    """Build the trie of ``docs(text)`` below ``folder``; three counting passes over the texts.
+
+    Pairs and triples seen fewer than ``least`` times are not kept; 1 keeps all.
+    """
+    if least not in (1, 2):
+        raise ValueError("least is 1 or 2")
     spark = docs.sparkSession
 
     def words_of() -> Callable:
@@ -395,18 +415,21 @@ def train(docs: DataFrame, folder: str) -> Model:
     if not size["v"]:
         return Model(0, 0, [0.5] * 3, EMPTY, EMPTY, EMPTY)
     discounts = [_discount(size["n1"], size["n2"])]
-    words = _write_words(counted, folder, size["v"])
+    _fits(size["v"], BITS, "words")
+    words = _write_words(counted, folder, size["v"], least)
 
     def level(name: str, keys: Callable[[], Callable], parent_counts: Callable[[], Callable]) -> Files:
         seen = Observation(name)
         found = _counted(docs, "key", keys).observe(
-            seen, *(F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2)), F.count(F.when(F.col("c") >= LEAST, 1)).alias("kept")
+            seen, *(F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2)), F.count(F.when(F.col("c") >= least, 1)).alias("kept")
         )
-        found.filter(F.col("c") >= LEAST).write.parquet(f"{folder}/counted-{name}")
+        found.filter(F.col("c") >= least).write.parquet(f"{folder}/counted-{name}")
         stats = seen.get
         discounts.append(_discount(stats["n1"], stats["n2"]))
         if not stats["kept"]:
             return EMPTY
+        if name == "pairs":
+            _fits(stats["kept"], 63 - BITS, name)
         kept = spark.read.parquet(f"{folder}/counted-{name}")
         return _write_level(kept, folder, name, stats["kept"], discounts[-1], parent_counts)
 
@@ -486,18 +509,21 @@ class Scorer:
         return known, np.add.reduceat(base[back], starts), np.add.reduceat(np.log10(p), starts)
 
 
-def score_texts(docs: DataFrame, folder: str, parts: int = 5, part: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(
+    docs: DataFrame, folder: str, parts: int = 5, part: int = 1, doc_id: str = "doc_id", text: str = "text", least: int = LEAST
+) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
     Learns from rows whose crc32 remainder is not ``part``; a null id is held out.
     Tokens are the words, A-Z lower-cased, and one end; a null or empty text is its end
     alone.  Scores are log10 probabilities of whole texts; without training rows every
     token has probability 1.  Repeated rows come out once each, and count as often as
-    they come; other columns are not read.
+    they come; other columns are not read.  The model keeps pairs and triples seen
+    ``least`` times or more: 1 for all of them, as the query does, or 2 for a smaller trie.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     source = source.withColumn("held_out", held_out(F.col("doc_id"), parts, part))
-    model = train(source.filter(~F.col("held_out")), folder)
+    model = train(source.filter(~F.col("held_out")), folder, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -519,4 +545,4 @@ OUT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"
 
 @query("op8_lm_score")
 def op8(spark, sf_dir):
-    return score_texts(table(spark, sf_dir, "documents"), new_folder(spark, "trie"))
+    return score_texts(table(spark, sf_dir, "documents"), new_folder(spark, "trie"), least=1)

@@ -81,3 +81,47 @@ def test_scores_of_odd_rows(spark, odd, nothing):
     assert ngram_trie.score_texts(nothing, new_folder(spark, "trie-test")).count() == 0
     alone = ngram_trie.score_texts(odd.filter("doc_id IS NULL"), new_folder(spark, "trie-test")).collect()
     assert {(r["train_tokens"], r["base_score"], r["score"]) for r in alone} == {(0, 0.0, 0.0)}
+
+
+def whole_model(texts):
+    """The interpolated model of all n-grams, without any cut-off."""
+    one, two, three = (collections.Counter() for _ in range(3))
+    for words in texts:
+        one.update(words)
+        two.update(zip(words, words[1:], strict=False))
+        three.update(zip(words, words[1:], words[2:], strict=False))
+    n, v = sum(one.values()), len(one)
+
+    def discount(counts):
+        a, b = (sum(c == k for c in counts) for k in (1, 2))
+        return min(0.95, max(0.1, a / (a + 2 * b)))
+
+    d1, d2, d3 = (discount(c.values()) for c in (one, two, three))
+    used2, used3 = collections.Counter(), collections.Counter()
+    for (a, _), c in two.items():
+        used2[a] += (c - d2) / one[a]
+    for (a, b, _), c in three.items():
+        used3[a, b] += (c - d3) / two[a, b]
+
+    def p(w, v1, u):
+        x = (one[w] - d1) / n if w in one else d1 * v / n
+        if v1 is not None:
+            x = (1 - used2[v1]) * x + ((two[v1, w] - d2) / one[v1] if two[v1, w] else 0)
+            if u is not None:
+                x = (1 - used3[u, v1]) * x + ((three[u, v1, w] - d3) / two[u, v1] if three[u, v1, w] else 0)
+        return x
+
+    return p
+
+
+@pytest.mark.parametrize("keys", [2_000_000, 60])
+def test_query_scores_with_all_pairs_and_triples(spark, docs, texts, keys, monkeypatch):
+    monkeypatch.setattr(ngram_trie, "FILE_KEYS", keys)
+    monkeypatch.setattr(ngram_trie, "HELD_KEYS", 500)
+    monkeypatch.setattr(ngram_trie, "table", lambda *_: docs)
+    found = {r["doc_id"]: r["score"] for r in ngram_trie.op8(spark, "").collect()}
+    words = {7 * k + 3: [*(t or "").encode().lower().split(), None] for k, t in enumerate(texts)}
+    p = whole_model([w for i, w in words.items() if zlib.crc32(str(i).encode()) % 5 != 1])
+    for i, w in words.items():
+        exact = sum(math.log10(p(x, w[k - 1] if k else None, w[k - 2] if k > 1 else None)) for k, x in enumerate(w))
+        assert abs(found[i] - exact) <= 0.03 * len(w), (i, found[i], exact)
