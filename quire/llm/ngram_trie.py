@@ -46,6 +46,7 @@ LEAST = 2  # count from which a pruned model keeps pairs and triples
 GROUP_TOKENS = 150_000
 HELD_KEYS = 3_000_000
 CODES = 256
+TOP = 255  # byte of a count that is kept beside the others
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
@@ -119,6 +120,14 @@ def _codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(middles, logs).astype(np.uint8), np.exp(book).astype(np.float64)
 
 
+def _counts(c: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    """Counts as bytes, with the places and values of larger ones; triples need none."""
+    if name == "triples":
+        return {}
+    large = np.flatnonzero(c >= TOP)
+    return {"counts": np.minimum(c, TOP).astype(np.uint8), "counts.at": large, "counts.large": c[large].astype(np.int64)}
+
+
 @dataclass
 class Files:
     """The files of a level: path, entries before, and first key of each."""
@@ -245,6 +254,9 @@ class Level:
                 arrays = self.parts[k][1]
                 stored = arrays[name][places[at] - self.before[k]]
                 out[at] = arrays[f"{name}.book"][stored] if f"{name}.book" in arrays else stored
+                if f"{name}.large" in arrays:
+                    high = np.flatnonzero(stored == TOP)
+                    out[at[high]] = arrays[f"{name}.large"][np.searchsorted(arrays[f"{name}.at"], places[at[high]] - self.before[k])]
         return out
 
     def weights(self, parents: np.ndarray) -> np.ndarray:
@@ -343,7 +355,7 @@ def _write_level(kept: DataFrame, folder: str, name: str, total: int, discount:
                 write_arrays(
                     path,
                     {"parent": first, **meta, **more},
-                    {**arrays, **lists, "prob": prob, "prob.book": book, "left": rest, "left.book": rest_book, "counts": c.astype(np.int64)},
+                    {**arrays, **lists, "prob": prob, "prob.book": book, "left": rest, "left.book": rest_book, **_counts(c, name)},
                 )
                 made.append((k, path, len(key), int(key[0]), first, float(taken[0]), last, float(taken[-1])))
         columns = list(zip(*made, strict=True)) or [[]] * 8
@@ -423,7 +435,7 @@ def train(docs: DataFrame, folder: str, least: int = LEAST) -> Model:
         found = _counted(docs, "key", keys).observe(
             seen, *(F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2)), F.count(F.when(F.col("c") >= least, 1)).alias("kept")
         )
-        found.filter(F.col("c") >= least).write.parquet(f"{folder}/counted-{name}")
+        found.filter(F.col("c") >= least).write.option("compression", "zstd").parquet(f"{folder}/counted-{name}")
         stats = seen.get
         discounts.append(_discount(stats["n1"], stats["n2"]))
         if not stats["kept"]:

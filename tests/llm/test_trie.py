@@ -125,3 +125,11 @@ def test_query_scores_with_all_pairs_and_triples(spark, docs, texts, keys, monke
     for i, w in words.items():
         exact = sum(math.log10(p(x, w[k - 1] if k else None, w[k - 2] if k > 1 else None)) for k, x in enumerate(w))
         assert abs(found[i] - exact) <= 0.03 * len(w), (i, found[i], exact)
+
+
+def test_large_counts_beside_their_bytes():
+    c = np.array([1.0, 254, 255, 3, 256, 10**7])
+    level = object.__new__(ngram_trie.Level)
+    level.before, level.parts = np.array([0, 2]), [(None, ngram_trie._counts(c[k], "pairs")) for k in (slice(2), slice(2, 6))]
+    places = np.array([5, 0, 4, 2, 2, 1, 3])
+    assert level.values(places, "counts").tolist() == c[places].tolist()
