@@ -11,23 +11,29 @@ than the prefix alone says.
 A passage that very many documents hold is frequent: it stands behind the rare
 shingles, mostly outside the prefix, and never makes a group of all its documents.
 
-Copies are merged first: documents with equal sets are one node.  With all shingles
-indexed singly, each node is tried against the head it shares most keys with, the
+Copies are merged first: documents with equal sets are one node, and ``set_members`` says
+of which node a document is.  ``jaccard_links`` gives every link between two nodes with
+its overlap.  Shingles whose groups are large are the frequent class.  Keys of a set are in
+order of place, each with the one before it: a pair that shares a key and the one before
+is tried for an earlier key already.  ``jaccard_components`` follows from these links.
+
+``shortcut=True`` gives the same components without the links inside them.  With all
+shingles indexed singly, each node is tried against the head it shares most keys with, the
 smallest node of a key's group.  What this links is one component already, however
 large a group of near copies is; it needs no further pairs among its members.  Some
 rounds like it follow in groups that are still dense.  The
 frequent class are the shingles whose groups still hold many pairs from different
 components: passages that unlike documents share.  With that class the index is built
-again, and the pairs of one key in different components are tried.  Any class gives the
-same links; only the number of candidates depends on it.  All pairs are verified on
-whole sets, after bitmaps of the sets have ruled out most others, so no link between
-components is lost, and no group emits all its pairs
-unless its members are not alike.
+again, and the pairs of one key in different components are tried.
+
+Any class gives the same links; only the number of candidates depends on it.  All pairs
+are verified on whole sets, after bitmaps of the sets have ruled out most others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +49,11 @@ from quire.session import broadcast_if_small
 WIDTH = 5
 THRESHOLD = 75  # per cent
 COMBINATION = 2
-# A shingle is frequent when its index group holds more pairs from different components.
+# With the shortcut, a shingle is frequent when its index group holds more pairs from
+# different components.
 MOST_PAIRS = 50
+# For the links, a shingle is frequent when more nodes have it in their prefixes.
+MOST_NODES = 200
 # Rounds in which nodes of dense groups are tried against some nodes of the largest
 # component, before all that is left is tried; they change the work, not the links.
 ROUNDS, TRIES = 2, 8
@@ -71,7 +80,7 @@ def index_keys(hashes: np.ndarray, frequent: np.ndarray, threshold: int = THRESH
     often = hashes[common][: length - len(rare)]
     if len(often) < COMBINATION:
         return rare, np.arange(len(rare))
-    first, second = np.triu_indices(len(often), 1)
+    second, first = np.tril_indices(len(often), -1)  # in order of place
     with np.errstate(over="ignore"):
         pairs = mix(mix(often[first]) * SEED + often[second])
     return np.concatenate([rare, pairs]), np.concatenate([np.arange(len(rare)), len(rare) + second])
@@ -213,7 +222,7 @@ def possible(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of documents that link: bitmaps rule most others out, whole sets decide."""
+    """``a, b, shared, n_a, n_b`` of the pairs of documents that link: bitmaps rule most others out, whole sets decide."""
     pairs = cut(possible(cut(pairs), docs, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,11 +237,88 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
                     place = np.minimum(np.searchsorted(y, x), len(y) - 1)
                     shared = int((y[place] == x).sum())
                     if 100 * shared >= threshold * (len(x) + len(y) - shared):
-                        keep.append(k)
-            links = [pa.array([v[k] for k in keep], pa.int64()) for v in (a, ids)]
-            yield pa.RecordBatch.from_arrays(links, ["a", "b"])
+                        keep.append((a[k], ids[k], shared, len(x), len(y)))
+            columns = list(zip(*keep, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "shared", "n_a", "n_b"])
+
+    found = beside_heads(pairs, docs, ["text"]).mapInArrow(run, "a long, b long, shared long, n_a long, n_b long")
+    return found.dropDuplicates(["a", "b"])  # repeated rows of an id
+
+
+@dataclass
+class Sets:
+    """The sets of documents: one node for all that are equal."""
+
+    source: DataFrame  # doc_id, text
+    base: DataFrame  # doc_id, n_shingles, sig of each row
+    nodes: DataFrame  # sig, node, n
+    others: DataFrame  # ids that stay out of the index
+
+    @staticmethod
+    def of(docs: DataFrame, doc_id: str, text: str) -> Sets:
+        source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        base = stored(signed_sets(source))
+        nodes = base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig")
+        nodes = stored(nodes.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")))
+        # Copies and texts that only equal texts can link with stay out of the index.
+        others = base.select("doc_id").join(nodes.filter("n > 1").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+        return Sets(source, base, nodes, broadcast_if_small(cut(others.filter("doc_id IS NOT NULL").distinct())))
+
+    def members(self) -> DataFrame:
+        named = self.base.join(self.nodes.select("sig", "node"), "sig", "left")
+        return named.select("doc_id", "n_shingles", "node", "sig")
+
+    def keyed(self, frequent: np.ndarray, threshold: int) -> DataFrame:
+        """``key, node, n, at, before`` of the nodes: the place of a key and the key before it."""
+        keyed = keyed_sets(self.source, frequent, threshold).filter("doc_id IS NOT NULL").join(self.others, "doc_id", "left_anti")
+        keyed = keyed.select("doc_id", "n", F.posexplode("keys").alias("i", "key"), "keys", "places")
+        return keyed.select(
+            "key", F.col("doc_id").alias("node"), "n", F.get("places", F.col("i")).alias("at"), F.get("keys", F.col("i") - 1).alias("before")
+        )
+
+
+def all_links(sets: Sets, threshold: int, most_nodes: int = MOST_NODES) -> DataFrame:
+    """``a, b, shared, n_a, n_b`` of all links between nodes, a < b."""
+
+    def indexed(frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
+        """The rows of keys that several nodes have, and the number of nodes of each such key."""
+        rows = sets.keyed(frequent, threshold)
+        several = cut(rows.groupBy("key").agg(F.count("*").alias("nodes")).filter("nodes > 1"))
+        return stored(rows.join(several.select("key"), "key", "left_semi")), several
+
+    index, several = indexed(np.empty(0, np.uint64))
+    frequent = held_tokens(several.filter(F.col("nodes") > most_nodes).select(F.col("key").alias("token")))
+    if len(frequent):
+        index, _ = indexed(frequent)
+    left, right = (
+        index.select(
+            F.col("key").alias(f"key_{x}"), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}"),
+            F.col("at").alias(f"pos_{x}"), F.col("before").alias(f"before_{x}"),
+        )
+        for x in "ab"
+    )
+    # Places rise along the keys of a set, so the pair passes for the key before as well.
+    first = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
+    tried = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & first & may_link("a", "b", threshold))
+    return verified(tried.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets.source, threshold)
+
+
+def jaccard_links(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, most_nodes: int = MOST_NODES
+) -> DataFrame:
+    """``a, b, shared, n_a, n_b`` of each link between two distinct sets, a < b.
+
+    A set goes by its node, the smallest id of the documents that have it; ``shared`` is
+    the size of the intersection, ``n_a`` and ``n_b`` those of the sets.  With
+    ``set_members`` this gives all linked documents: those of one node link with each
+    other, and with those of every linked node.
+    """
+    return all_links(Sets.of(docs, doc_id, text), threshold, most_nodes)
 
-    return beside_heads(pairs, docs, ["text"]).mapInArrow(run, "a long, b long")
+
+def set_members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, node`` for each row: the node of its set, null for the empty set."""
+    return Sets.of(docs, doc_id, text).members().drop("sig")
 
 
 def jaccard_components(
@@ -241,6 +327,7 @@ def jaccard_components(
     text: str = "text",
     threshold: int = THRESHOLD,
     most_pairs: int = MOST_PAIRS,
+    shortcut: bool = False,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``.
 
@@ -250,21 +337,27 @@ def jaccard_components(
     and is linked with nothing.  Rows with a null id are counted but start no component:
     their component is that of the texts they link with, else null.  Repeated rows come
     out once each.  Ids must name one text; other columns are not read.
+
+    Components follow from all links.  ``shortcut`` gives the same components without
+    trying pairs that are in one already; ``most_pairs`` is its measure of dense groups.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    base = stored(signed_sets(source))
-    nodes = base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig")
-    nodes = stored(nodes.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")))
-    # Copies and texts that only equal texts can link with stay out of the index.
-    others = base.select("doc_id").join(nodes.filter("n > 1").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
-    others = broadcast_if_small(cut(others.filter("doc_id IS NOT NULL").distinct()))
+    sets = Sets.of(docs, doc_id, text)
+    links = linked_components(sets, threshold, most_pairs) if shortcut else all_links(sets, threshold)
+    labels = connected_components(links.select("a", "b"))
+    out = sets.members().join(labels, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
+    alone = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", alone.alias("component_id"))
+
+
+def linked_components(sets: Sets, threshold: int, most_pairs: int) -> DataFrame:
+    """``a, b`` of links that join the same components as all links do."""
+    source = sets.source
+
     def indexed(frequent: np.ndarray) -> DataFrame:
         """``key, node, pos, n, head, pos_h, n_h`` of keys that several nodes have; head is the smallest of them."""
-        keyed = keyed_sets(source, frequent, threshold).filter("doc_id IS NOT NULL").join(others, "doc_id", "left_anti")
         # Size and place travel as one number.
         spot = F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")
-        keyed = keyed.select("doc_id", "n", F.posexplode("keys").alias("i", "key"), "places").withColumn("at", F.get("places", F.col("i")))
-        keyed = keyed.select("key", F.col("doc_id").alias("node"), spot.alias("spot"))
+        keyed = sets.keyed(frequent, threshold).select("key", "node", spot.alias("spot"))
         group = Window.partitionBy("key")
         keyed = keyed.withColumn("h", F.min(F.struct("node", "spot")).over(group)).withColumn("last", F.max("node").over(group))
         size = lambda c: F.shiftright(c, 32).cast("int")
@@ -285,7 +378,7 @@ def jaccard_components(
     heads = heads.filter(may_link("a", "b", threshold)).groupBy("a", "b").agg(F.count("*").alias("keys"))
     heads = heads.groupBy("b").agg(F.min(F.struct(-F.col("keys"), "a")).alias("best"))
     heads = cut(heads.select(F.col("best.a").alias("a"), "b"))
-    links = cut(verified(heads, source, threshold))
+    links = cut(verified(heads, source, threshold).select("a", "b"))
 
     def by_component(index: DataFrame) -> DataFrame:
         """``key, pos, node, n, component`` of the keys whose nodes are in different components."""
@@ -319,7 +412,7 @@ def jaccard_components(
         tries = tries.groupBy("a", "b").agg(F.count("*").alias("keys"))
         order = Window.partitionBy("b").orderBy(F.desc("keys"), F.xxhash64("a", "b", F.lit(turn)))
         tries = tries.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TRIES).select("a", "b")
-        links = cut(links.unionByName(verified(tries, source, threshold)))
+        links = cut(links.unionByName(verified(tries, source, threshold).select("a", "b")))
     frequent = held_tokens(dense.select(F.col("key").alias("token")))
     if len(frequent):
         placed = by_component(indexed(frequent))
@@ -329,11 +422,7 @@ def jaccard_components(
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
     rest = left.join(right, (F.col("key_a") == F.col("key_b")) & apart & may_link("a", "b", threshold))
     rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    labels = connected_components(links.unionByName(verified(rest, source, threshold)))
-    by_sig = nodes.join(labels, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
-    out = base.join(by_sig, "sig", "left")
-    alone = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", alone.alias("component_id"))
+    return links.unionByName(verified(rest, source, threshold).select("a", "b"))
 
 
 MOST_FREQUENT = 4_000_000

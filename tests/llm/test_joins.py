@@ -4,7 +4,7 @@ import pytest
 
 from quire.llm.components import connected_components
 from quire.llm.containment import clean_documents, find_items
-from quire.llm.jaccard_join import index_keys, jaccard_components, prefix_length
+from quire.llm.jaccard_join import index_keys, jaccard_components, jaccard_links, prefix_length, set_members
 
 
 def shingles(text):
@@ -111,3 +111,25 @@ def test_items_odd_rows(spark, odd, nothing):
     assert found == [(-1, -1), (1, -1), (2, 4), (2, 4), (2, 4)]
     assert find_items(nothing, items).count() == 0 and find_items(odd, items.limit(0)).count() == 0
     assert clean_documents(odd, items).count() == 1
+
+
+@pytest.mark.parametrize("most_nodes", [200, 2])
+def test_all_links_of_distinct_sets(docs, texts, most_nodes):
+    sets, node = {7 * k + 3: frozenset(shingles(t)) for k, t in enumerate(texts)}, {}
+    for i in sorted(sets):
+        if sets[i]:
+            node.setdefault(sets[i], i)
+    expected = set()
+    for x, a in node.items():
+        for y, b in node.items():
+            both = len(x & y)
+            if a < b and both and 100 * both >= 75 * len(x | y):
+                expected.add((a, b, both, len(x), len(y)))
+    found = [tuple(r) for r in jaccard_links(docs, most_nodes=most_nodes).collect()]
+    assert set(found) == expected and len(found) == len(expected) > 70
+    assert {tuple(r) for r in set_members(docs).collect()} == {(i, len(s), node.get(s)) for i, s in sets.items()}
+
+
+def test_shortcut_gives_the_same_components(docs):
+    whole, short = (sorted(map(tuple, jaccard_components(docs, most_pairs=0, shortcut=x).collect())) for x in (False, True))
+    assert whole == short
