@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog import views as v
 from quire.catalog.registry import query
-from quire.operators import bm25, fusion, vectors
+from quire.operators import bm25, fusion, vector_index, vectors
 from quire.plans import answers
 from quire.plans.search import SearchConfig, hybrid_search as fused_search, search
 from quire.session import scratch_folder, spread
@@ -156,6 +156,48 @@ def vector_search_filtered(spark, d):
     return found.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
 
+def written_vector_index(spark, d):
+    path = scratch_folder(spark, "vectors")
+    vector_index.write_index(embeddings(spark, d), path, columns=("label",), version=d)
+    return vector_index.read_index(spark, path, version=d)
+
+
+@query(
+    "vector_index_all_cells",
+    "WITH " + VEC_CTES + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM vr WHERE rank <= 50",
+)
+def vector_index_all_cells(spark, d):
+    """Codes of all cells, then the exact cosines of what the bounds leave: the rows of the exact search."""
+    index = written_vector_index(spark, d)
+    found = vector_index.search(index, embeddings(spark, d), questions(spark, d), 50, probes=index.cells)
+    return found.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+
+
+@query(
+    "vector_index_filtered",
+    "WITH "
+    + VEC_CTES.replace("FROM embeddings))", "FROM embeddings WHERE label >= 2 AND label <= 6 AND label <> 4))")
+    + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM vr WHERE rank <= 20",
+)
+def vector_index_filtered(spark, d):
+    index = written_vector_index(spark, d)
+    where = {"$and": [{"label": {"$gte": 2}}, {"label": {"$lte": 6}}, {"label": {"$ne": 4}}]}
+    found = vector_index.search(index, embeddings(spark, d), questions(spark, d), 20, probes=index.cells, where=where)
+    return found.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+
+
+@query(
+    "vector_index_recall",
+    "WITH " + VEC_CTES + " SELECT count(DISTINCT query_id) AS queries, TRUE AS recall_at_10_is_090 FROM vr",
+)
+def vector_index_recall(spark, d):
+    """The probed cells against the exact search over the whole table."""
+    asked = questions(spark, d)
+    found = vector_index.search(written_vector_index(spark, d), embeddings(spark, d), asked, 10)
+    each = vector_index.recall(found, vectors.search(embeddings(spark, d), asked, 10), 10)
+    return each.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("recall_at_10_is_090"))
+
+
 def _fused(frame):
     return frame.select("query_id", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"), F.col("rank").cast("long"))
 

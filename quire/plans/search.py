@@ -9,8 +9,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators import bm25, fusion, vectors
+from quire.operators import bm25, fusion, vector_index, vectors
 from quire.operators.bm25 import Bm25Index
+from quire.operators.vector_index import VectorIndex
 from quire.session import MAX_SMALL_ROWS, hold_if_small, is_small, spread
 
 
@@ -27,6 +28,8 @@ class SearchConfig:
     vector_top_k: int | None = None
     # Whether a metadata filter also binds the BM25 list.
     filter_sparse: bool = True
+    # Cells of a vector index that a query probes, by default what the index was tuned to.
+    vector_probes: int | None = None
 
 
 def held(queries: DataFrame) -> DataFrame:
@@ -42,8 +45,12 @@ def candidate_lists(
     config: SearchConfig,
     where: dict[str, Any] | None = None,
     metadata: DataFrame | None = None,
+    vectors_index: VectorIndex | None = None,
 ) -> list[tuple[DataFrame, int]]:
-    """Ranked lists with their weights; a list of weight zero is not computed."""
+    """Ranked lists with their weights; a list of weight zero is not computed.
+
+    With a written ``vectors_index`` the vector list is approximate, else exact.
+    """
     fetch = fusion.fetch_size(config.hybrid_top_k)
     lists: list[tuple[DataFrame, int]] = []
     if config.bm25_weight > 0:
@@ -53,7 +60,11 @@ def candidate_lists(
             scored = scored.join(metadata.filter(condition).select("chunk_id"), "chunk_id", "left_semi")
         lists.append((bm25.top_k(scored, config.bm25_top_k or fetch, decimals=None), config.bm25_weight))
     if config.vector_weight > 0:
-        found = vectors.search(embeddings, queries.select("query_id", "embedding"), config.vector_top_k or fetch, where)
+        asked, k = queries.select("query_id", "embedding"), config.vector_top_k or fetch
+        if vectors_index is None:
+            found = vectors.search(embeddings, asked, k, where)
+        else:
+            found = vector_index.search(vectors_index, embeddings, asked, k, config.vector_probes, where)
         lists.append((found, config.vector_weight))
     return lists
 
@@ -65,10 +76,11 @@ def hybrid_search(
     config: SearchConfig = SearchConfig(),
     where: dict[str, Any] | None = None,
     metadata: DataFrame | None = None,
+    vectors_index: VectorIndex | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, rrf_score, rank) of ``queries`` (query_id, query_text, embedding)."""
     queries = held(queries)
-    lists = candidate_lists(index, embeddings, queries, config, where, metadata)
+    lists = candidate_lists(index, embeddings, queries, config, where, metadata, vectors_index)
     return fusion.fuse(lists, config.hybrid_top_k, config.rrf_k)
 
 
@@ -93,6 +105,7 @@ def search(
     top_k: int | None = None,
     where: dict[str, Any] | None = None,
     metadata: DataFrame | None = None,
+    vectors_index: VectorIndex | None = None,
 ) -> DataFrame:
     """Results of each query with their chunk rows, best first by ``rank``.
 
@@ -101,7 +114,7 @@ def search(
     """
     k = top_k or config.rerank_top_k
     queries = held(queries)
-    ranked = hybrid_search(index, embeddings, queries, config, where, metadata)
+    ranked = hybrid_search(index, embeddings, queries, config, where, metadata, vectors_index)
     found = attach_chunks(ranked, chunks, queries, config.hybrid_top_k)
     if scorer is not None and config.use_reranker:
         texts = queries.select("query_id", "query_text")
