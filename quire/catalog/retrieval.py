@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog import views as v
 from quire.catalog.registry import query
-from quire.operators import bm25, fusion, vector_index, vectors
+from quire.operators import bm25, fusion, postings, vector_index, vectors
 from quire.plans import answers
 from quire.plans.search import SearchConfig, hybrid_search as fused_search, search
 from quire.session import scratch_folder, spread
@@ -135,6 +135,44 @@ def bm25_written_search(spark, d):
     return found.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
 
+def written_blocks(spark, d):
+    path = scratch_folder(spark, "blocks")
+    postings.write_blocks(chunks(spark, d), path, columns=("venue", "year"), version=d)
+    return postings.read_blocks(spark, path, version=d)
+
+
+@query(
+    "bm25_block_search",
+    "WITH " + BM25_CTES + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 20",
+)
+def bm25_block_search(spark, d):
+    """Write the index in blocks, read it back and search it with early stop."""
+    found = postings.search(written_blocks(spark, d), questions(spark, d).select("query_id", "query_text"), 20)
+    return found.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+
+
+@query(
+    "bm25_block_filtered",
+    "WITH "
+    + BM25_CTES.replace(
+        "FROM bm WHERE score > 0", "FROM bm JOIN documents ON doc_id = chunk_id WHERE score > 0 AND lang = 'en' AND 2000 + doc_id % 20 >= 2005"
+    )
+    + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 10",
+)
+def bm25_block_filtered(spark, d):
+    where = vectors.search_filter("en", 2005)
+    found = postings.search(written_blocks(spark, d), questions(spark, d).select("query_id", "query_text"), 10, where)
+    return found.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+
+
+@query(
+    "bm25_block_vocabulary",
+    "WITH " + VOCABULARY_CTES + " SELECT term, df, round(idf, 6) AS idf FROM idf",
+)
+def bm25_block_vocabulary(spark, d):
+    return written_blocks(spark, d).vocabulary.withColumn("idf", F.round("idf", 6))
+
+
 @query(
     "vector_search",
     "WITH " + VEC_CTES + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM vr WHERE rank <= 50",

@@ -26,10 +26,11 @@ MAX_QUERIES = 4096
 CELL_ROWS = 50_000
 
 
-def compile_where(where: dict[str, Any] | None) -> Column | None:
+def compile_where(where: dict[str, Any] | None, column: Callable[[str], Column] = F.col) -> Column | None:
     """Condition of a metadata filter: equality, comparison operators, ``$and``.
 
-    Several keys, and several operators of one key, must all hold.
+    Several keys, and several operators of one key, must all hold.  ``column`` gives the
+    value of a key.
     """
     if not where:
         return None
@@ -45,16 +46,16 @@ def compile_where(where: dict[str, Any] | None) -> Column | None:
     parts: list[Column] = []
     for key, value in where.items():
         if key in ("$and", "$or"):
-            inner = [c for c in map(compile_where, value) if c is not None]
+            inner = [c for v in value if (c := compile_where(v, column)) is not None]
             if inner:
                 parts.append(reduce(Column.__and__ if key == "$and" else Column.__or__, inner))
         elif isinstance(value, dict):
             for operator, operand in value.items():
                 if operator not in operators:
                     raise ValueError(f"unknown filter operator {operator!r}")
-                parts.append(operators[operator](F.col(key), operand))
+                parts.append(operators[operator](column(key), operand))
         else:
-            parts.append(F.col(key) == F.lit(value))
+            parts.append(column(key) == F.lit(value))
     return reduce(Column.__and__, parts) if parts else None
 
 

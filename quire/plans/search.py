@@ -9,8 +9,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators import bm25, fusion, vector_index, vectors
+from quire.operators import bm25, fusion, postings, vector_index, vectors
 from quire.operators.bm25 import Bm25Index
+from quire.operators.postings import BlockIndex
 from quire.operators.vector_index import VectorIndex
 from quire.session import MAX_SMALL_ROWS, hold_if_small, is_small, spread
 
@@ -39,7 +40,7 @@ def held(queries: DataFrame) -> DataFrame:
 
 
 def candidate_lists(
-    index: Bm25Index,
+    index: Bm25Index | BlockIndex,
     embeddings: DataFrame,
     queries: DataFrame,
     config: SearchConfig,
@@ -49,11 +50,17 @@ def candidate_lists(
 ) -> list[tuple[DataFrame, int]]:
     """Ranked lists with their weights; a list of weight zero is not computed.
 
-    With a written ``vectors_index`` the vector list is approximate, else exact.
+    With a written ``vectors_index`` the vector list is approximate, else exact.  An
+    index of blocks filters by its own columns while it is read, another one by
+    ``metadata`` after scoring.
     """
     fetch = fusion.fetch_size(config.hybrid_top_k)
     lists: list[tuple[DataFrame, int]] = []
-    if config.bm25_weight > 0:
+    if config.bm25_weight > 0 and isinstance(index, BlockIndex):
+        asked = queries.select("query_id", "query_text")
+        found = postings.search(index, asked, config.bm25_top_k or fetch, where if config.filter_sparse else None)
+        lists.append((found, config.bm25_weight))
+    elif config.bm25_weight > 0:
         scored = bm25.score(index, queries.select("query_id", "query_text"))
         condition = vectors.compile_where(where)
         if condition is not None and config.filter_sparse and metadata is not None:
@@ -70,7 +77,7 @@ def candidate_lists(
 
 
 def hybrid_search(
-    index: Bm25Index,
+    index: Bm25Index | BlockIndex,
     embeddings: DataFrame,
     queries: DataFrame,
     config: SearchConfig = SearchConfig(),
@@ -96,7 +103,7 @@ def attach_chunks(ranked: DataFrame, chunks: DataFrame, queries: DataFrame, per_
 
 
 def search(
-    index: Bm25Index,
+    index: Bm25Index | BlockIndex,
     embeddings: DataFrame,
     chunks: DataFrame,
     queries: DataFrame,
