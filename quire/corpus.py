@@ -18,6 +18,20 @@ from quire.plans.search import SearchConfig, search
 from quire.sources.store import TableStore
 
 
+MAX_QUERY_LENGTH = 2_000
+
+
+def checked_lengths(queries: DataFrame) -> DataFrame:
+    """``queries`` that raise ValueError for a text that is not 1 to MAX_QUERY_LENGTH characters long."""
+    if "query_text" not in queries.columns:
+        return queries
+    wrong = ~F.coalesce(F.length("query_text"), F.lit(0)).between(1, MAX_QUERY_LENGTH)
+    row = queries.filter(wrong).select("query_id", F.length("query_text").alias("n")).first()
+    if row is not None:
+        raise ValueError(f"the text of query {row['query_id']} has {row['n'] or 0} characters, not 1 to {MAX_QUERY_LENGTH}")
+    return queries
+
+
 @dataclass
 class Corpus:
     """Methods mirror the endpoints of the service; each returns a lazy DataFrame.
@@ -59,13 +73,18 @@ class Corpus:
             sizes = sizes.withColumn(name, size)
         return sizes
 
-    def browse(self, page: int = 1, page_size: int = 20, **filters: Any) -> DataFrame:
-        """One page of papers with their authors."""
+    def browse(
+        self, page: int = 1, page_size: int = 20, limit: int | None = None, offset: int | None = None, **filters: Any
+    ) -> DataFrame:
+        """One page of papers with their authors; ``limit`` and ``offset`` choose other rows than a page's."""
         check_range("page", page, 1, None)
         check_range("page_size", page_size, 1, 100)
+        check_range("limit", limit, 1, 100)
+        check_range("offset", offset, 0, None)
         check_range("year", filters.get("year") or None, 1900, 2100)
         found = browse.filter_papers(self.papers, self.entities, self.authors, **filters)
-        rows = browse.browse_papers(found, page_size, (page - 1) * page_size)
+        limit = page_size if limit is None else limit
+        rows = browse.browse_papers(found, limit, (page - 1) * page_size if offset is None else offset)
         return browse.attach_authors(rows, self.authors).orderBy(F.desc_nulls_last("year"), "title", "id")
 
     def count(self, page_size: int = 20, **filters: Any) -> DataFrame:
@@ -149,7 +168,10 @@ class Corpus:
         config: SearchConfig = SearchConfig(),
         scorer: Callable[[Column, Column], Column] | None = None,
     ) -> DataFrame:
-        """Results of ``queries`` (query_id, query_text, embedding), best first by rank."""
+        """Results of ``queries`` (query_id, query_text, embedding), best first by rank.
+
+        Texts have 1 to 2,000 characters; others are refused.
+        """
         if self.index is None:
             raise RuntimeError("the index is not built, call build_index first")
         check_range("top_k", top_k, 1, 50)
@@ -157,6 +179,7 @@ class Corpus:
         check_range("year_max", year_max, 1900, 2100)
         chunks = self.search_chunks()
         where = vectors.search_filter(venue, year_min, year_max)
+        queries = checked_lengths(queries)
         return search(self.index, self._vectors(), chunks, queries, config, scorer, top_k, where, chunks)
 
     def answer(self, results: DataFrame, queries: DataFrame, backend: answers.Backend, context_k: int = 5):
@@ -173,7 +196,7 @@ class Corpus:
     def unenriched(self) -> DataFrame:
         return enrichment.unenriched(self.papers, self.entities)
 
-    def enrich_missing(self, lexicon: list[tuple[str, str]] | None = None) -> DataFrame:
+    def enrich_missing(self, lexicon: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
         """Entity rows to append for papers that have none."""
         return enrichment.enrich(self.unenriched(), lexicon)
 

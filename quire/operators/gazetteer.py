@@ -1,8 +1,9 @@
 """Finding the names of a lexicon in texts, as whole words, ignoring case.
 
 A lexicon of bounded size becomes one regular expression, and the whole
-extraction is a projection without a shuffle.  A lexicon of any size is joined
-with the word sequences of the texts.  Both give the same rows.
+extraction is a projection without a shuffle.  A larger one becomes an automaton over
+words, one of any size is joined with the word sequences of the texts.  All give the
+same rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import WORD_CHAR
+from quire.operators.automaton import extract_by_automaton
 from quire.operators.lexicon import default_lexicon
 from quire.session import is_small, spread
 
@@ -79,16 +81,18 @@ def extract(papers: DataFrame, text: Column, lexicon: list[tuple[str, str]] | Da
     """(paper_id, ord, entity_type, name) of papers with ``id``.
 
     A lexicon may be of any size: a frame (entity_type, name, ord), or a list beyond
-    what a pattern holds, is joined, with the same rows.
+    what a pattern holds, becomes an automaton over words, and beyond what tasks can
+    hold one after the other it is joined, with the same rows.
     """
     if isinstance(lexicon, DataFrame):
-        return join_lexicon(papers, text, lexicon)
+        found = extract_by_automaton(papers, text, lexicon)
+        return join_lexicon(papers, text, lexicon) if found is None else found
     if lexicon is not None and len(lexicon) > MAX_PATTERN_NAMES:
         for _, name in lexicon:
             _check(name)
         rows = [(kind, name, number) for number, (kind, name) in enumerate(lexicon)]
         frame = papers.sparkSession.createDataFrame(rows, "entity_type string, name string, ord int")
-        return join_lexicon(papers, text, frame)
+        return extract(papers, text, frame)
     texts = spread(papers.select(F.col("id").alias("paper_id"), text.alias("text")))
     found = F.explode(find_entities(F.col("text"), lexicon)).alias("e")
     return texts.select("paper_id", found).select("paper_id", "e.ord", "e.entity_type", "e.name")

@@ -31,7 +31,29 @@ def unenriched(papers: DataFrame, entities: DataFrame, processed: DataFrame | No
     return papers.join(done, "id", "left_anti")
 
 
-def gazetteer_entities(papers: DataFrame, lexicon: list[tuple[str, str]] | None = None) -> DataFrame:
+def newest(papers: DataFrame, n: int) -> DataFrame:
+    """The ``n`` newest papers, by year, then by ``created_at`` if there is one; ties go to the smaller id.
+
+    The n-th key is found by counts of years, so only papers of one year are ever ordered.
+    """
+    if n < 1:
+        raise ValueError("a number of papers is at least 1")
+    papers = papers.withColumn("_year", F.coalesce(F.col("year"), F.lit(-1)))
+    taken, edge = 0, None
+    for row in papers.groupBy("_year").count().orderBy(F.desc("_year")).collect():  # one row per year
+        if taken + row["count"] > n:
+            edge = row["_year"]
+            break
+        taken += row["count"]
+    if edge is None:
+        return papers.drop("_year")
+    whole = papers.filter(F.col("_year") > edge)
+    order = [F.desc_nulls_last("created_at")] if "created_at" in papers.columns else []
+    part = papers.filter(F.col("_year") == edge).orderBy(*order, "id").limit(n - taken)
+    return (whole.unionByName(part) if taken < n else whole).drop("_year")
+
+
+def gazetteer_entities(papers: DataFrame, lexicon: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
     """(paper_id, ord, entity_type, name, attr) found by the lexicon."""
     text = extraction_text(F.col("title"), F.col("abstract"))
     return gazetteer.extract(papers, text, lexicon).withColumn("attr", F.lit(None).cast("string"))
@@ -82,7 +104,7 @@ def merge_entities(model: DataFrame, found: DataFrame) -> DataFrame:
 
 def enrich(
     papers: DataFrame,
-    lexicon: list[tuple[str, str]] | None = None,
+    lexicon: list[tuple[str, str]] | DataFrame | None = None,
     model_answers: DataFrame | None = None,
     use_gazetteer: bool = True,
 ) -> DataFrame:

@@ -87,7 +87,14 @@ def update_full_texts(tables: TableStore, updates: DataFrame) -> None:
     tables.overwrite("papers", update_full_text(tables.read("papers"), updates))
 
 
-def enrich_papers(tables: TableStore, lexicon: list[tuple[str, str]] | None = None) -> None:
-    """Append the entities of papers that have none."""
+def enrich_papers(
+    tables: TableStore, lexicon: list[tuple[str, str]] | DataFrame | None = None, max_papers: int | None = None
+) -> None:
+    """Append the entities of papers that have none; with ``max_papers`` of the newest only.
+
+    Newest is by year, then by time of loading; ties go to the smaller id.
+    """
     todo = enrichment.unenriched(tables.read("papers"), tables.read("entities"))
+    if max_papers is not None:
+        todo = enrichment.newest(todo, max_papers)
     tables.append("entities", enrichment.enrich(todo, lexicon).select(*TABLES["entities"].names))

@@ -13,7 +13,7 @@ def enrich_stream(
     papers: DataFrame,
     output: str,
     checkpoint: str,
-    lexicon: list[tuple[str, str]] | None = None,
+    lexicon: list[tuple[str, str]] | DataFrame | None = None,
     once: bool = False,
 ) -> StreamingQuery:
     """Write the entities of arriving papers below ``output``.

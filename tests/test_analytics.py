@@ -85,6 +85,10 @@ def test_browse(corpus):
     assert tuples(corpus.count(method="bert", year=0, venue="")) == [(2, 1)]
     with pytest.raises(ValueError):
         corpus.browse(page_size=101)
+    assert [r["id"] for r in corpus.browse(limit=2, offset=1).collect()] == ["s::D19-1234", "s::P18-1001"]
+    for wrong in ({"limit": 0}, {"limit": 101}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            corpus.browse(**wrong)
 
 
 def test_paper(corpus):
@@ -115,6 +119,9 @@ def test_search_and_answer(spark, corpus):
     with pytest.raises(RuntimeError):
         Corpus(corpus.papers, corpus.authors, corpus.entities, corpus.chunks, corpus.embeddings).search(asked)
     corpus.build_index()
+    for text in ("", None, "x" * 2001):
+        with pytest.raises(ValueError):
+            corpus.search(asked.withColumn("query_text", F.lit(text).cast("string")))
     results = corpus.search(asked, top_k=4)
     assert [r["chunk_id"] for r in results.orderBy("rank").collect()][:2] == [2, 3]
     filtered = corpus.search(asked, venue="acl", year_min=2020)

@@ -1,11 +1,12 @@
 """Gazetteer and enrichment against plain regular expressions."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import gazetteer
+from quire.operators import automaton, gazetteer
 from quire.operators.lexicon import LISTS, default_lexicon
 from quire.plans import enrichment
 
@@ -58,6 +59,31 @@ def test_overlapping_and_odd_names(spark, texts):
         gazetteer.find_entities(F.lit("x"), [("a", "C++")])
 
 
+def test_automaton_matches_the_join(spark, texts, monkeypatch):
+    lexicon = default_lexicon() + [("a", "BERT and"), ("a", "bert"), ("b", "3"), ("a", "llama 3.1 and LLaMA"), ("a", "1 and"), ("a", "and LLaMA 2"), ("b", "é"), ("b", "GLUE.")]
+    frame = spark.createDataFrame([(k, n, i) for i, (k, n) in enumerate(lexicon)] + [("a", None, 0)], "entity_type string, name string, ord int")
+    joined = grouped(gazetteer.join_lexicon(texts, F.col("text"), frame.filter("name IS NOT NULL")).collect())
+    assert grouped(gazetteer.extract(texts, F.col("text"), frame).collect()) == joined
+    sharded = automaton.extract_by_automaton(texts, F.col("text"), frame, shard_bytes=3000)
+    assert grouped(sharded.collect()) == joined and len(sharded._jdf.queryExecution().toString().split("MapInArrow")) > 5
+    assert "Exchange hash" not in sharded._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(automaton, "MAX_SHARDS", 1)
+    assert automaton.extract_by_automaton(texts, F.col("text"), frame, shard_bytes=900) is None
+    assert gazetteer.extract(texts, F.col("text"), frame.limit(0)).collect() == []
+
+
+def test_automaton_finds_overlapping_runs():
+    rng = random.Random(6)
+    names = {" ".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(60)} | {"a-b", "a - b"}
+    names = sorted(names)
+    machine = automaton.WordAutomaton(names)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "b", "c", "d"]) + rng.choice([" ", " ", "-", "  ", " - "]) for _ in range(30))
+        tokens = automaton.TOKENS.findall(text)
+        runs = {"".join(tokens[i:j]) for i in range(len(tokens)) for j in range(i + 1, len(tokens) + 1)}
+        assert machine.find(text) == {i for i, n in enumerate(names) if n in runs}
+
+
 def test_lexicon_is_deduplicated():
     lexicon = default_lexicon()
     assert len({(k, n.lower()) for k, n in lexicon}) == len(lexicon)
@@ -100,3 +126,33 @@ def test_enrich_and_stats(spark, papers, entities):
     stats = enrichment.run_stats(papers.unionByName(blank.withColumn("id", F.lit("blank"))), rows, answers).first()
     assert (stats["processed"], stats["skipped"], stats["model_used"], stats["fallback_used"]) == (4, 1, 1, 3)
     assert stats["total_methods"] == sum(1 for g in got if g[1] == "method")
+
+
+def test_newest_papers_come_first(spark, papers):
+    def ids(frame):
+        return sorted(r["id"] for r in frame.collect())
+
+    assert ids(enrichment.newest(papers, 1)) == ["t::2022.acl-long.100"]
+    assert ids(enrichment.newest(papers, 2)) == ["s::D19-1234", "t::2022.acl-long.100"]
+    assert ids(enrichment.newest(papers, 9)) == ids(papers)
+    same = spark.createDataFrame([(c, 2020, t) for c, t in [("c", "2024-01-02"), ("a", "2024-01-01"), ("b", None), ("d", "2024-01-02")]], "id string, year int, created_at string")
+    assert ids(enrichment.newest(same, 2)) == ["c", "d"] and ids(enrichment.newest(same, 3)) == ["a", "c", "d"]
+    with pytest.raises(ValueError):
+        enrichment.newest(papers, 0)
+
+
+def test_service_takes_a_lexicon_frame(spark, papers, entities, tmp_path):
+    from quire import Corpus
+    from quire.plans import ingest
+    from quire.sources.store import TableStore
+
+    lexicon = spark.createDataFrame([("topic", "nothing KNOWN", 0), ("task", "question answering", 1)], "entity_type string, name string, ord int")
+    found = Corpus(papers, None, entities).enrich_missing(lexicon).collect()
+    assert {(r["paper_id"], r["name"]) for r in found} == {("t::2022.acl-long.101", "nothing KNOWN")}
+    store = TableStore(spark, str(tmp_path))
+    store.create()
+    ingest.add_papers(store, papers.drop("venue", "volume").withColumns({"venue": F.lit("acl"), "volume": F.lit(None).cast("string"), "authors": F.array(F.lit("Ann"))}))
+    ingest.enrich_papers(store, lexicon, max_papers=3)  # the paper without a year is not among them
+    assert {r["paper_id"] for r in store.read("entities").collect()} == {"s::P18-1001"}
+    ingest.enrich_papers(store, lexicon)
+    assert {r["name"] for r in store.read("entities").collect()} == {"question answering", "nothing KNOWN"}
