@@ -10,7 +10,9 @@ from quire.catalog.texts import CHUNKS_SQL
 from quire.operators import browse, ratelimit
 from quire.operators.chunking import chunk_papers, stable_chunk_ids
 from quire.plans.ingest import pair_vectors
+from quire.session import scratch_folder
 from quire.sources import fulltext, papers, store
+from quire.streaming.ratelimit import admit_stream
 
 
 def raw_publications(spark, d):
@@ -336,3 +338,16 @@ def rate_limit_weekly(spark, d):
 @query("rate_limit_hourly", rate_sql(1, 3600))
 def rate_limit_hourly(spark, d):
     return ratelimit.admissions(requests(spark, d), 1, 3600)
+
+
+@query("rate_limit_stream", rate_sql(1, 3600))
+def rate_limit_stream(spark, d):
+    """The same decisions from a stream over the table, with expiring state per client."""
+    schema = v.table(spark, d, "events").schema
+    # A pattern, because a stream takes a plain path for a folder.
+    stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
+    asked = stream.select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), "ts")
+    out, state = scratch_folder(spark, "admitted"), scratch_folder(spark, "admission-state")
+    writer = admit_stream(asked, 1, 3600).writeStream.format("parquet").option("checkpointLocation", state)
+    writer.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out)

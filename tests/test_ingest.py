@@ -260,6 +260,28 @@ def test_rate_limit_stream(spark, request_rows, tmp_path):
     assert got == simulate(rows, 2, 60)
 
 
+def test_stream_state_goes_when_clients_rest(spark, tmp_path):
+    schema = "client int, request_id int, s bigint"
+    state = str(tmp_path / "state")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        timed = stream.select("client", "request_id", F.timestamp_seconds("s").alias("ts"))
+        query = admit_stream(timed, 2, 60, "0 seconds").writeStream.format("parquet").option("checkpointLocation", state)
+        query.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+        logs = spark.read.format("statestore").option("path", state).option("stateVarName", "log").load()
+        return sorted({r["key"]["client"] for r in logs.select("key").collect()})
+
+    rows = [(c, 10 * c + k, 1000 + k) for c in range(20) for k in range(3)]
+    assert run(rows) == list(range(20))
+    assert run([(0, 900, 1030)]) == list(range(20))
+    assert run([(0, 901, 1062), (7, 902, 1063)]) == [0, 7]  # the others rest for a window
+    got = {r["request_id"]: r["admitted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    more = simulate([*rows, (0, 900, 1030), (0, 901, 1062), (7, 902, 1063)], 2, 60)
+    assert got == {k: a for k, (a, _) in more.items()}
+
+
 def test_enrich_stream(spark, papers, tmp_path):
     source = papers.select("id", "title", "abstract")
     source.limit(2).write.parquet(str(tmp_path / "in"))
