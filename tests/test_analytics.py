@@ -74,6 +74,25 @@ def test_pairs_with_hot_paper_and_duplicates(spark):
     assert len(tuples(pairs.author_pairs(authors.filter("paper_id = 'p1'"), 15))) <= 15
 
 
+def test_one_paper_with_very_many_names_is_many_keys(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [("hot", f"a{i:03d}") for i in range(300)] + [(f"p{p}", f"a{rng.randrange(300):03d}") for p in range(40) for _ in range(3)]
+    authors = spark.createDataFrame([(p, n, 0) for p, n in rows], "paper_id string, name string, position int")
+    names = {}
+    for p, n in rows:
+        names.setdefault(p, set()).add(n)
+    shared = Counter((a, b) for s in names.values() for a in s for b in s if a < b)
+    want = sorted(((a, b, c) for (a, b), c in shared.items()), key=lambda t: (-t[2], t[0], t[1]))
+    monkeypatch.setattr(pairs, "BLOCK_NAMES", 40)
+    monkeypatch.setattr(pairs, "SEED_NAMES", 2)
+    assert tuples(pairs.author_pairs(authors, len(want))) == want
+    once = pairs._multiplicity(authors)
+    hot = pairs._blocks(once, once)
+    assert [tuple(r) for r in hot.collect()] == [("hot", 8, 8)]
+    plan = pairs._pair_counts(once, once, None, hot)._jdf.queryExecution().optimizedPlan().toString()
+    assert "left#" in plan and "right#" in plan
+
+
 def test_browse(corpus):
     rows = corpus.browse(page_size=2).collect()
     assert [r["id"] for r in rows] == ["t::2022.acl-long.100", "s::D19-1234"]
