@@ -260,7 +260,7 @@ def browse_with_authors(spark, d):
     page = browse.browse_papers(
         browse.filter_papers(v.papers(spark, d), authors=authors, author="supplier#00000000"), 50
     )
-    return browse.attach_authors(page, authors).withColumn("authors", F.array_join("authors", "; "))
+    return browse.attach_authors(page, authors, 50).withColumn("authors", F.array_join("authors", "; "))
 
 
 @query(

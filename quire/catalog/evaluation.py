@@ -30,12 +30,29 @@ from quire.plans.search import SearchConfig, hybrid_search as fused_search
 K_VALUES = metrics.K_VALUES
 
 
+SHORT_BYTES = 1 << 20  # of short passages that a task holds at a time
+
+
+def _short_passages(documents, passages):
+    """(item_id, doc_id) of passages of one or two words, in blocks of bounded bytes; only finds become rows."""
+    short = passages.filter(F.size(words(F.col("passage"))) < 3)
+    size = short.agg(F.coalesce(F.sum(F.octet_length("passage") + 32), F.lit(0))).first()[0]
+    blocks = -(-size // SHORT_BYTES)
+    out = documents.select(F.lit(None).cast(passages.schema["item_id"].dataType).alias("item_id"), "doc_id").limit(0)
+    for k in range(blocks):
+        own = short.filter(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == k)
+        held = documents.select("doc_id", "text", own.agg(F.collect_list(F.struct("item_id", "passage"))).scalar().alias("held"))
+        within = F.filter("held", lambda p: F.contains(F.col("text"), p["passage"]))
+        out = out.unionByName(held.select(F.explode(within).alias("p"), "doc_id").select("p.item_id", "doc_id"))
+    return out
+
+
 def relevant(spark, d):
     """(query_id, item_id) of documents that contain a passage.
 
     The rarest inner word of a passage leads to its few candidates by an
     equi-join; only those are compared as texts.  Passages of one or two words have no
-    inner word; they are looked for in every text, in one pass for all of them.
+    inner word; they are looked for in every text, in one pass for each block of them.
     """
     documents = spread(v.table(spark, d, "documents").select("doc_id", "text"))
     passages = v.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
@@ -55,10 +72,8 @@ def relevant(spark, d):
     pairs = present.join(anchors, "word").select("doc_id", "item_id")
     compared = pairs.join(documents, "doc_id").join(passages, "item_id")
     found = compared.filter(F.contains("text", "passage")).select("item_id", "doc_id")
-    short = passages.filter(F.size(words(F.col("passage"))) < 3).agg(F.collect_list(F.struct("item_id", "passage"))).scalar()
-    tried = documents.select("doc_id", "text", short.alias("short")).select("doc_id", "text", F.explode("short").alias("p"))
-    within = tried.filter(F.contains(F.col("text"), F.col("p.passage"))).select("p.item_id", "doc_id")
-    return found.unionByName(within).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item_id"))
+    return found.unionByName(_short_passages(documents, passages)).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item_id"))
+
 
 
 REL_CTE = """rel AS (SELECT b.item_id AS query_id, d.doc_id AS item_id FROM benchmark b, documents d

@@ -85,7 +85,7 @@ class Corpus:
         found = browse.filter_papers(self.papers, self.entities, self.authors, **filters)
         limit = page_size if limit is None else limit
         rows = browse.browse_papers(found, limit, (page - 1) * page_size if offset is None else offset)
-        return browse.attach_authors(rows, self.authors).orderBy(F.desc_nulls_last("year"), "title", "id")
+        return browse.attach_authors(rows, self.authors, limit).orderBy(F.desc_nulls_last("year"), "title", "id")
 
     def count(self, page_size: int = 20, **filters: Any) -> DataFrame:
         found = browse.filter_papers(self.papers, self.entities, self.authors, **filters)

@@ -25,6 +25,7 @@ SHARD_BYTES = 32 << 20  # of names, that a task holds at a time
 MAX_SHARDS = 16
 # \w of this pattern is what text.WORD_CHAR spells out.
 TOKENS = re.compile(r"\w+|\W+")
+WORDS = re.compile(r"\w+")
 
 
 class WordAutomaton:
@@ -35,13 +36,13 @@ class WordAutomaton:
     """
 
     def __init__(self, keys: Iterable[str]):
-        self.single: dict[str, list[int]] = {}
+        self.single: dict[str, tuple[int, ...]] = {}
         self.next: list[dict[str, int]] = [{}]
         self.entries: list[list[int]] = [[]]
         for number, key in enumerate(keys):
-            tokens = TOKENS.findall(key)
+            tokens = [key] if key.isalnum() else TOKENS.findall(key)
             if len(tokens) == 1:
-                self.single.setdefault(tokens[0], []).append(number)
+                self.single[key] = (*self.single.get(key, ()), number)
             elif tokens:
                 state = 0
                 for token in tokens:
@@ -64,11 +65,13 @@ class WordAutomaton:
                 self.entries[after] = self.entries[after] + self.entries[self.back[after]]
                 waiting.append(after)
         self.first = set(self.next[0])
+        # Gaps are tokens of the walk, and need no look otherwise but for a name made of one.
+        self.tokens = TOKENS if self.first or not all(map(WORDS.match, self.single)) else WORDS
 
     def find(self, text: str) -> set[int]:
-        tokens = TOKENS.findall(text)
-        distinct = set(tokens)
-        found = {n for token in self.single.keys() & distinct for n in self.single[token]}
+        tokens = self.tokens.findall(text)
+        distinct, single = set(tokens), self.single
+        found = {n for token in distinct if token in single for n in single[token]}
         if self.first.isdisjoint(distinct):
             return found
         state, next_, back, entries = 0, self.next, self.back, self.entries

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import contains_like
 from quire.model import entities_of
-from quire.session import broadcast_if_small
+from quire.session import MAX_SMALL_ROWS, broadcast_if_small
 
 BROWSE_COLUMNS = ["id", "title", "abstract", "year", "venue", "url"]
 
@@ -78,13 +78,15 @@ def author_lists(authors: DataFrame) -> DataFrame:
     return authors.groupBy("paper_id").agg(F.transform(ordered, lambda a: a["name"]).alias("authors"))
 
 
-def attach_authors(page: DataFrame, authors: DataFrame) -> DataFrame:
+def attach_authors(page: DataFrame, authors: DataFrame, rows: int | None = None) -> DataFrame:
     """Add author lists to one page of papers, an empty list where there are none.
 
     The page's ids reduce the author table before the lists are built, so only
-    the authors of the page are grouped.
+    the authors of the page are grouped.  ``rows`` is a known bound of the page; without
+    it the page is measured.
     """
-    ids = broadcast_if_small(page.select(F.col("id").alias("paper_id")))
+    ids = page.select(F.col("id").alias("paper_id"))
+    ids = F.broadcast(ids) if rows is not None and rows <= MAX_SMALL_ROWS else broadcast_if_small(ids)
     lists = author_lists(authors.join(ids, "paper_id", "left_semi")).withColumnRenamed("paper_id", "id")
     return page.join(lists, "id", "left").withColumn(
         "authors", F.coalesce("authors", F.array().cast("array<string>"))

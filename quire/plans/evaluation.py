@@ -61,14 +61,14 @@ class Ablation:
     config: SearchConfig = field(default_factory=SearchConfig)
 
 
-# The standard comparison.
+# The standard comparison: names and weights are fixed values.
 DEFAULT_ABLATIONS = [
-    Ablation("full_pipeline", "BM25 + Vector + Reranker (default)", SearchConfig()),
-    Ablation("no_reranker", "BM25 + Vector, no cross-encoder reranking", SearchConfig(use_reranker=False)),
-    Ablation("bm25_only", "BM25 only (vector weight=0), with reranker", SearchConfig(vector_weight=0)),
-    Ablation("vector_only", "Vector only (BM25 weight=0), with reranker", SearchConfig(bm25_weight=0)),
-    Ablation("bm25_heavy", "BM25-heavy hybrid (3:1) + reranker", SearchConfig(bm25_weight=3)),
-    Ablation("vector_heavy", "Vector-heavy hybrid (1:3) + reranker", SearchConfig(vector_weight=3)),
+    Ablation("full_pipeline", "both lists at equal weight, then reranked: the standard search", SearchConfig()),
+    Ablation("no_reranker", "both lists at equal weight in their fused order", SearchConfig(use_reranker=False)),
+    Ablation("bm25_only", "the term list alone, then reranked", SearchConfig(vector_weight=0)),
+    Ablation("vector_only", "the vector list alone, then reranked", SearchConfig(bm25_weight=0)),
+    Ablation("bm25_heavy", "three parts of the term list to one of the vector list, then reranked", SearchConfig(bm25_weight=3)),
+    Ablation("vector_heavy", "three parts of the vector list to one of the term list, then reranked", SearchConfig(vector_weight=3)),
 ]
 
 

@@ -131,3 +131,15 @@ def test_ablations_need_the_same_lists(spark):
     bad = [evaluation.Ablation("a", "", SearchConfig()), evaluation.Ablation("b", "", SearchConfig(rrf_k=10))]
     with pytest.raises(ValueError):
         evaluation.ablation_results(None, None, None, None, bad)
+
+
+def test_short_passages_are_found_in_blocks(spark, monkeypatch):
+    from quire.catalog import evaluation as queries
+
+    documents = spark.createDataFrame([(1, "an abc text"), (2, "two words, abcd"), (3, None)], "doc_id long, text string")
+    passages = spark.createDataFrame([(k, p) for k, p in enumerate(["abc", "two words", "xyz", "wo wor", "a b c d", "", None])], "item_id long, passage string")
+    want = {(0, 1), (0, 2), (1, 2), (3, 2), (5, 1), (5, 2)}
+    for size in (1 << 20, 40):
+        monkeypatch.setattr(queries, "SHORT_BYTES", size)
+        assert {tuple(r) for r in queries._short_passages(documents, passages).collect()} == want
+    assert queries._short_passages(documents, passages.limit(0)).count() == 0
