@@ -2,10 +2,13 @@
 
 A page becomes a tree of elements.  Every paragraph earns points for its length and
 its commas; its parent gets them whole, its grandparent half, higher ancestors less.
-A container's score is discounted by the share of its text that is inside links.  The
-best container is kept, with those of its siblings that read like it, and its text comes
-out block by block.  Elements that are never part of an article (menus, headers, footers,
-sidebars, forms, scripts, adverts, notices, comments) are set aside before scoring.
+A container's score is discounted by the share of its text that is inside links, and
+raised a little where tags or names speak for it.  The best container is kept, with those
+of its siblings that read like it, and its text comes out block by block.  Elements that
+are never part of an article (menus, headers, footers, sidebars, forms, scripts, adverts,
+comments) are set aside before scoring.  A name alone, such as "legal" or "header", sets
+aside what is outside the best container and nothing in it; so does a form, unless most
+of the page is inside it.
 
 Each page is one row of work; pages are independent, so the work follows the rows.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,15 +53,19 @@ SCOPE = set("table td th caption button object html".split())
 
 # Never part of an article.
 ASIDE = set(
-    "nav header footer aside form menu dialog button select option input textarea script style noscript iframe template svg "
+    "nav header footer aside menu dialog button select option input textarea script style noscript iframe template svg "
     "math object embed canvas audio video label head title link meta noembed noframes xmp".split()
 )
+# Names of what is no part of an article wherever it stands, and of what may be part of one.
 _APART = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed)?|promo(?:tion|ted)?s?|banners?|"
-    r"sidebars?|side[\s_-]?bar|nav|navbar|navigation|menus?|breadcrumbs?|footers?|headers?|masthead|topbar|toolbar|"
-    r"comments?|commentlist|respond|replies|disqus|discussion|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|"
-    r"subscribe|subscription|signup|login|related|recommend(?:ed|ations?)?|share|sharing|social|widgets?|pagination|pager|"
-    r"skip|search|copyright|legal|disclaimer|tags|taboola|outbrain)(?:$|[\s_-])"
+    r"sidebars?|side[\s_-]?bar|nav|navbar|navigation|menus?|breadcrumbs?|masthead|topbar|toolbar|"
+    r"comments?|commentlist|respond|disqus|cookies?|consent|gdpr|popups?|modals?|overlay|newsletter|"
+    r"subscribe|signup|login|related|share|sharing|social|widgets?|pagination|pager|taboola|outbrain)(?:$|[\s_-])"
+)
+_DOUBTFUL = re.compile(
+    r"(?:^|[\s_-])(?:footers?|headers?|replies|discussion|notices?|alerts?|subscription|recommend(?:ed|ations?)?|"
+    r"skip|search|copyright|legal|disclaimer|tags)(?:$|[\s_-])"
 )
 _ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 _ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|main|content|entry|post|story|body|text|page|blog)(?:$|[\s_-])")
@@ -74,13 +82,13 @@ _WORDS = re.compile(r"\S+")
 class Node:
     """An element, or a run of text (``tag`` empty)."""
 
-    __slots__ = ("tag", "parent", "children", "text", "score", "apart", "likely", "links", "size")
+    __slots__ = ("tag", "parent", "children", "text", "score", "apart", "doubtful", "likely", "links", "size")
 
     def __init__(self, tag: str, parent: Node | None, text: str = "") -> None:
         self.tag, self.parent, self.text = tag, parent, text
         self.children: list[Node] = []
         self.score, self.links, self.size = 0.0, 0, 0
-        self.apart = self.likely = False
+        self.apart = self.doubtful = self.likely = False
 
 
 def _mark(node: Node, raw: str) -> None:
@@ -97,10 +105,49 @@ def _mark(node: Node, raw: str) -> None:
     node.likely = node.tag in ("article", "main") or role == "main" or given.get("itemprop", "") == "articleBody"
     if node.tag in ("html", "body"):
         return
+    # A page often names the body after its theme, and an article after its place in a list.
     named = bool(_APART.search(names)) and not node.likely
     comment = bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names))
     node.apart = node.apart or hidden or role in _ROLES or named or comment
-    node.likely = not node.apart and (node.likely or bool(_ARTICLE.search(names)))
+    node.doubtful = not node.apart and not node.likely and bool(_DOUBTFUL.search(names))
+    node.likely = not node.apart and not node.doubtful and (node.likely or bool(_ARTICLE.search(names)))
+
+
+class _Open:
+    """The open elements, from the root down, and at what depths each tag and any block is open."""
+
+    def __init__(self, root: Node) -> None:
+        self.path, self.depths, self.blocks = [root], {root.tag: [0]}, [0]
+
+    def push(self, node: Node) -> None:
+        depth = len(self.path)
+        self.path.append(node)
+        self.depths.setdefault(node.tag, []).append(depth)
+        if node.tag in BLOCKS:
+            self.blocks.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from ``depth`` down; the root stays open."""
+        while len(self.path) > max(1, depth):
+            tag = self.path.pop().tag
+            self.depths[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        """Depth of the innermost open ``tag``, -1 without one."""
+        found = self.depths.get(tag)
+        return found[-1] if found else -1
+
+    def close(self, tags: set[str], scope: set[str]) -> None:
+        """Close the outermost open element of ``tags`` that is inside the innermost of ``scope``."""
+        open_ = [found for tag in tags if (found := self.depths.get(tag))]
+        if not open_:
+            return
+        least = max((self.last(tag) for tag in scope), default=-1)
+        below = [found[k] for found in open_ if (k := bisect_right(found, max(least, 0))) < len(found)]
+        if below:
+            self.cut(min(below))
 
 
 def parse(page: str) -> Node:
@@ -111,13 +158,13 @@ def parse(page: str) -> Node:
     there.  Text inside scripts and the like is not kept; a tag cut off by the end of
     the page is dropped.
     """
-    root = Node("html", None)
-    here, at = root, 0
+    root, at = Node("html", None), 0
+    open_ = _Open(root)
     size = len(page)
 
     def text(upto: int) -> None:
         if upto > at:
-            here.children.append(Node("", here, page[at:upto]))
+            open_.path[-1].children.append(Node("", open_.path[-1], page[at:upto]))
 
     while at < size:
         found = _TOKEN.search(page, at)
@@ -132,27 +179,26 @@ def parse(page: str) -> Node:
             break  # cut off
         tag = found[2].lower()
         if found[1]:
-            node = here
-            while node and node.tag != tag:
-                # An inline end tag does not close blocks around it.
-                node = None if tag not in BLOCKS and node.tag in BLOCKS else node.parent
-            if node and node.parent:
-                here = node.parent
+            depth = open_.last(tag)
+            # An inline end tag does not close blocks around it.
+            if depth > 0 and (tag in BLOCKS or open_.blocks[-1] < depth):
+                open_.cut(depth)
             elif tag == "p" or tag == "br":
-                here.children.append(Node("br", here))
+                open_.path[-1].children.append(Node("br", open_.path[-1]))
             continue
-        if tag == "html" or (tag == "body" and _inside(here, "body")):
+        if tag == "html" or (tag == "body" and open_.last("body") > 0):
             continue
         if tag in ENDS_P:
-            here = _close(here, {"p"}, SCOPE)
-        if tag in HEADINGS and here.tag in HEADINGS:
-            here = here.parent
+            open_.close({"p"}, SCOPE)
+        if tag in HEADINGS and open_.path[-1].tag in HEADINGS:
+            open_.cut(len(open_.path) - 1)
         if tag in CLOSES:
-            here = _close(here, *CLOSES[tag])
-        if tag == "a" and _inside(here, "a"):
-            here = _close(here, {"a"}, BLOCKS)
+            open_.close(*CLOSES[tag])
+        if tag == "a":
+            open_.close({"a"}, BLOCKS)
         if tag == "body":
-            here = _close(here, {"head"}, set())
+            open_.close({"head"}, set())
+        here = open_.path[-1]
         node = Node(tag, here)
         _mark(node, found[3])
         here.children.append(node)
@@ -161,28 +207,10 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
         elif tag not in VOID:
-            here = node
+            open_.push(node)
     return root
 
 
-def _inside(node: Node | None, tag: str) -> bool:
-    while node:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
-def _close(here: Node, tags: set[str], scope: set[str]) -> Node:
-    """Where to go on when the outermost open element of ``tags`` within ``scope`` is closed."""
-    node, out = here, here
-    while node.parent and node.tag not in scope:
-        if node.tag in tags:
-            out = node.parent
-        node = node.parent
-    return out
-
-
 def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
     """(node, whether it is being left), without nodes set apart; no recursion, pages nest deeply."""
     stack = [(root, False)]
@@ -194,6 +222,22 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
             stack.extend((c, False) for c in reversed(node.children) if not c.apart)
 
 
+def _set_forms(root: Node) -> None:
+    """Set forms aside, but not one that most of the page's text is in."""
+    forms: list[tuple[Node, int]] = []
+    total, started = 0, {}
+    for node, leaving in _walk(root):
+        if not node.tag:
+            total += len(node.text.strip())
+        elif node.tag == "form":
+            if leaving:
+                forms.append((node, total - started[id(node)]))
+            else:
+                started[id(node)] = total
+    for node, size in forms:
+        node.apart = 2 * size <= total
+
+
 def blocks(roots: list[Node]) -> list[str]:
     """Texts of the blocks under the nodes, in page order; white space is one space."""
     out, run = [], []
@@ -269,38 +313,71 @@ def _final(node: Node) -> float:
     return node.score * (1 - _density(node)) * bonus
 
 
-def kept(root: Node) -> list[Node]:
-    """The best container and those of its siblings that belong to it, in page order."""
-    _score(root)
+LEAST_POINTS, LEAST_SIZE = 1.5, 60  # of a sibling that has a paragraph's worth of text of its own
+SHARE = 0.35  # of the best score, for an article or main part around it to be taken whole
+
+
+def _reads_like(sibling: Node, best: Node) -> bool:
+    """Whether a sibling of the best container belongs to it: headings, paragraphs and blocks of prose."""
+    if not sibling.tag or sibling.apart or sibling.tag not in BLOCKS or not sibling.size:
+        return False
+    if _density(sibling) >= 0.25:
+        return False
+    if sibling.tag in HEADINGS or sibling.tag in ("p", "hgroup", "blockquote", "pre", "figure"):
+        return True
+    return _final(sibling) >= max(LEAST_POINTS, 0.2 * _final(best)) or (sibling.size >= LEAST_SIZE and _final(sibling) >= LEAST_POINTS)
+
+
+def _best(root: Node) -> Node | None:
     best = None
     for node, leaving in _walk(root):
         if not leaving and node.tag in BLOCKS and node.tag not in ("p", "li") and node.score > 0:
             if best is None or _final(node) > _final(best):
                 best = node
+    return best
+
+
+def _set_doubtful(roots: list[Node], apart: bool) -> None:
+    """Set what is doubtful below ``roots`` aside, or take it back in."""
+    stack = list(roots)
+    while stack:
+        node = stack.pop()
+        if node.doubtful:
+            node.apart = apart
+        if not node.apart:
+            stack.extend(node.children)
+
+
+def kept(root: Node) -> list[Node]:
+    """The best container and those of its siblings that belong to it, in page order."""
+    _set_forms(root)
+    _set_doubtful([root], True)
+    _score(root)
+    best = _best(root)
+    if best is None:  # all that there is may be doubtful
+        _set_doubtful([root], False)
+        _score(root)
+        best = _best(root)
     if best is None:
         return [root]
-    # A container inside an article or main part stands for all of it.
-    around = best
-    while around:
-        if around.tag in ("article", "main"):
+    out = _around(best)
+    if not any(node.tag in ("html", "body") for node in out):
+        _set_doubtful(out, False)
+    return out
+
+
+def _around(best: Node) -> list[Node]:
+    # An article or main part around it that has much of the score, too, is the better cut.
+    around, least = best.parent, SHARE * _final(best)
+    while best.tag != "article" and around:
+        if around.tag in ("article", "main") and _final(around) >= least:
             best = around
             if around.tag == "article":
                 break
         around = around.parent
     if best.parent is None or best.tag in ("html", "body"):
         return [best]
-    least = max(4.0, _final(best) * 0.2)
-    out = []
-    for sibling in best.parent.children:
-        if sibling is best:
-            out.append(sibling)
-        elif sibling.tag and not sibling.apart:
-            own = _own_text(sibling)
-            reads = sibling.tag in BLOCKS and _density(sibling) < 0.25
-            paragraph = sibling.tag == "p" and len(own) > 80 and _density(sibling) < 0.25
-            if reads and (paragraph or (sibling.tag == best.tag and _final(sibling) >= least)):
-                out.append(sibling)
-    return out
+    return [s for s in best.parent.children if s is best or _reads_like(s, best)]
 
 
 def extract(page: str | None) -> str:
