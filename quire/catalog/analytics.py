@@ -228,6 +228,16 @@ def browse_papers(spark, d):
     return browse.browse_papers(found, 20, 20)
 
 
+@query(
+    "browse_deep_page",
+    """SELECT id, title, year, venue FROM papers
+       ORDER BY year DESC NULLS LAST, title NULLS FIRST, id LIMIT 50 OFFSET 11000""",
+    ("papers",),
+)
+def browse_deep_page(spark, d):
+    return browse.browse_papers(v.papers(spark, d), 50, 11_000)
+
+
 @query(
     "browse_by_entities",
     """SELECT id, title, year, venue FROM papers

@@ -99,6 +99,16 @@ def first_papers(spark, d):
     return papers.first(v.papers(spark, d), 100, "id").select("id", "title", "year", "venue")
 
 
+@query(
+    "sample_most_papers",
+    "SELECT id, title, year, venue FROM papers ORDER BY md5('42|' || id), id LIMIT 12000",
+    ("papers",),
+)
+def sample_most_papers(spark, d):
+    """A sample beyond what one task orders."""
+    return papers.sample(v.papers(spark, d), 12_000, "id").select("id", "title", "year", "venue")
+
+
 @query(
     "dedup_append",
     """SELECT id, title || ' (first)' AS title, year, venue FROM papers

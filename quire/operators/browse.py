@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import contains_like
 from quire.model import entities_of
+from quire.operators.selection import Key, in_order
 from quire.session import MAX_SMALL_ROWS, broadcast_if_small
 
 BROWSE_COLUMNS = ["id", "title", "abstract", "year", "venue", "url"]
@@ -49,10 +50,9 @@ def filter_papers(
 
 
 def browse_papers(papers: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
-    """One page, newest first, then by title and id."""
-    ordered = papers.orderBy(F.desc_nulls_last("year"), "title", "id")
-    columns = [c for c in BROWSE_COLUMNS if c in papers.columns]
-    return ordered.offset(offset).limit(limit).select(columns) if offset else ordered.limit(limit).select(columns)
+    """One page, newest first, then by title and id; a deep one is found by counts, not by ordering all before it."""
+    keys = [Key(F.col("year"), descending=True, text=False), Key(F.col("title")), Key(F.col("id"))]
+    return in_order(papers, keys, limit, offset).select([c for c in BROWSE_COLUMNS if c in papers.columns])
 
 
 def count_papers(papers: DataFrame, page_size: int = 20) -> DataFrame:

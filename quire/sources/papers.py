@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from quire.functions import ids
 from quire.functions.text import has_text, strip
+from quire.operators.selection import Key, in_order
 
 SAMPLE_SEED = 42
 
@@ -73,11 +74,13 @@ def with_text(df: DataFrame) -> DataFrame:
 
 def sample(df: DataFrame, n: int | None, key: str, seed: int = SAMPLE_SEED) -> DataFrame:
     """A random but repeatable choice of ``n`` rows, by the hash of their key."""
-    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key))), key).limit(n) if n is not None else df
+    if n is None:
+        return df
+    return in_order(df, [Key(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key)))), Key(F.col(key))], n)
 
 
 def first(df: DataFrame, n: int | None, key: str) -> DataFrame:
-    return df.orderBy(key).limit(n) if n is not None else df
+    return in_order(df, [Key(F.col(key))], n) if n is not None else df
 
 
 def _authors(df: DataFrame, name: str) -> Column:
