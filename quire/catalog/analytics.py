@@ -8,7 +8,7 @@ from quire.catalog import views as v
 from quire.catalog.registry import query
 from quire.functions.ids import paper_source, paper_source_id
 from quire.functions.labels import count_label, split_composite_venue, venue_label
-from quire.operators import browse, counts, pairs
+from quire.operators import browse, counts, pairs, sketches
 
 KINDS = ("methods", "datasets", "tasks", "topics")
 NEEDLES = {"methods": "brand#1", "datasets": "ECON", "tasks": "ring", "topics": "NATION_1"}
@@ -174,6 +174,29 @@ def enrichment_stats(spark, d):
     return counts.enrichment_stats(v.papers(spark, d), v.entities(spark, d))
 
 
+@query(
+    "entity_estimates",
+    """WITH e AS (SELECT 'method' AS entity_type, * FROM methods UNION ALL SELECT 'dataset', * FROM datasets
+         UNION ALL SELECT 'task', * FROM tasks UNION ALL SELECT 'topic', * FROM topics)
+       SELECT entity_type, count(*) AS rows, TRUE AS names_within_2_percent, TRUE AS papers_within_2_percent
+       FROM e GROUP BY entity_type""",
+    ("methods", "datasets", "tasks", "topics"),
+)
+def entity_estimates(spark, d):
+    """Sketches of two appended halves, united, against the exact distinct counts."""
+    entities = v.entities(spark, d)
+    late = F.pmod(F.xxhash64("paper_id"), F.lit(2)) == 1
+    halves = [sketches.distinct_sketches(entities.filter(c)) for c in (~late, late)]
+    found = sketches.estimates(sketches.united(*halves))
+    exact = entities.groupBy("entity_type").agg(F.count_distinct("name").alias("n"), F.count_distinct("paper_id").alias("p"))
+    return found.join(exact, "entity_type").select(
+        "entity_type",
+        "rows",
+        (F.abs(F.col("names") - F.col("n")) <= 0.02 * F.col("n")).alias("names_within_2_percent"),
+        (F.abs(F.col("papers") - F.col("p")) <= 0.02 * F.col("p")).alias("papers_within_2_percent"),
+    )
+
+
 @query(
     "method_dataset_cooccurrence",
     """SELECT m.name AS method_name, t.name AS dataset_name, count(*) AS co_count

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quire.model import TABLES
-from quire.operators import bm25, vectors
+from quire.model import ENTITY_KINDS, TABLES
+from quire.operators import bm25, sketches, vectors
 from quire.operators.chunking import chunk_papers, stable_chunk_ids
 from quire.plans import enrichment
 from quire.sources import store
@@ -89,12 +89,43 @@ def update_full_texts(tables: TableStore, updates: DataFrame) -> None:
 
 def enrich_papers(
     tables: TableStore, lexicon: list[tuple[str, str]] | DataFrame | None = None, max_papers: int | None = None
-) -> None:
-    """Append the entities of papers that have none; with ``max_papers`` of the newest only.
+) -> dict[str, int]:
+    """Append the entities of papers that have none, and count them; with ``max_papers`` of the newest only.
 
     Newest is by year, then by time of loading; ties go to the smaller id.
     """
     todo = enrichment.unenriched(tables.read("papers"), tables.read("entities"))
     if max_papers is not None:
         todo = enrichment.newest(todo, max_papers)
-    tables.append("entities", enrichment.enrich(todo, lexicon).select(*TABLES["entities"].names))
+    return append_entities(tables, enrichment.enrich(todo, lexicon))
+
+
+STAGED_ENTITIES, SKETCHES = "staged_entities", "entity_sketches"
+
+
+def append_entities(tables: TableStore, rows: DataFrame) -> dict[str, int]:
+    """Append entity rows; the numbers of rows in all and by type, observed while they are written.
+
+    Rows are computed once.  The kept sketches of the distinct names and papers are
+    united with sketches of the new rows; nothing old is read.
+    """
+    seen = Observation("appended")
+    types = {f"{kind}": F.count_if(F.col("entity_type") == value) for kind, value in ENTITY_KINDS.items()}
+    observed = rows.select(*TABLES["entities"].names).observe(seen, F.count("*").alias("rows"), *(c.alias(n) for n, c in types.items()))
+    kept = entity_sketches(tables)
+    tables.overwrite(STAGED_ENTITIES, observed)
+    fresh = tables.read(STAGED_ENTITIES)
+    tables.append("entities", fresh)
+    tables.overwrite(SKETCHES, sketches.united(kept, sketches.distinct_sketches(fresh)))
+    return dict(seen.get)
+
+
+def entity_sketches(tables: TableStore) -> DataFrame:
+    """The kept sketches of the entities; made again where rows came or went without them."""
+    entities = tables.read("entities")
+    if tables.exists(SKETCHES):
+        kept = tables.read(SKETCHES)
+        # The number of rows is in the files' footers.
+        if (kept.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]) == entities.count():
+            return kept
+    return sketches.distinct_sketches(entities)

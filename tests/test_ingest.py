@@ -297,3 +297,30 @@ def test_enrich_stream(spark, papers, tmp_path):
     got = {(r["paper_id"], r["name"]) for r in read_entities(spark, out).collect()}
     assert ("s::P18-1001", "BERT") in got and ("t::2022.acl-long.100", "multilingual") in got
     assert read_entities(spark, out).count() == len(got)
+
+
+def test_appended_entities_are_counted_and_sketched(spark, tmp_path):
+    from quire.operators import counts, sketches
+    from quire.plans import ingest
+
+    store = TableStore(spark, str(tmp_path))
+    store.create()
+    schema = store.read("entities").schema
+
+    def rows(first, last):
+        made = [{"paper_id": f"p{i}", "entity_type": kind, "name": f"{kind}{i % m}"} for i in range(first, last) for kind, m in (("method", 700), ("task", 40))]
+        return spark.createDataFrame([{f.name: r.get(f.name) for f in schema} for r in made], schema)
+
+    assert ingest.append_entities(store, rows(0, 3000)) == {"rows": 6000, "methods": 3000, "datasets": 0, "tasks": 3000, "topics": 0}
+    assert ingest.append_entities(store, rows(2000, 4000))["rows"] == 4000
+    kept = store.read(ingest.SKETCHES)
+    assert {r["entity_type"]: r["rows"] for r in kept.collect()} == {"method": 5000, "task": 5000}
+    assert ingest.entity_sketches(store).inputFiles() == kept.inputFiles()
+    papers = spark.range(4000)
+    exact = counts.enrichment_stats(papers, store.read("entities")).first().asDict()
+    near = sketches.stats(kept, papers).first().asDict()
+    assert set(near) == set(exact) and all(abs(near[k] - exact[k]) <= 0.02 * exact[k] for k in exact)
+    # Rows that came another way make the sketches again.
+    store.append("entities", rows(9000, 9010))
+    again = {r["entity_type"]: r for r in sketches.estimates(ingest.entity_sketches(store)).collect()}
+    assert again["method"]["rows"] == 5010 and abs(again["method"]["papers"] - 4010) < 80
