@@ -16,7 +16,7 @@ from quire.sources import store
 from quire.sources.store import TableStore
 
 
-STAGED = "staged_papers"
+STAGED, STAGED_CHUNKS = "staged_papers", "staged_chunks"
 
 
 def add_papers(tables: TableStore, incoming: DataFrame, order: str | None = None) -> None:
@@ -39,10 +39,13 @@ def add_papers(tables: TableStore, incoming: DataFrame, order: str | None = None
 def rebuild_chunks(tables: TableStore, strategy: str = "fixed") -> None:
     """Replace all chunks; a chunk that did not change keeps its id."""
     chunks = stable_chunk_ids(chunk_papers(tables.read("papers"), strategy))
-    tables.overwrite("chunks", chunks.select(*TABLES["chunks"].names))
-    twice = tables.read("chunks").groupBy("id").count().filter("count > 1").head(1)
+    # Checked before it becomes the version that others read.
+    tables.overwrite(STAGED_CHUNKS, chunks.select(*TABLES["chunks"].names))
+    fresh = tables.read(STAGED_CHUNKS)
+    twice = fresh.groupBy("id").count().filter("count > 1").head(1)
     if twice:
         raise ValueError(f"two chunks have the id {twice[0]['id']}")
+    tables.overwrite("chunks", fresh)
 
 
 def rebuild_index(tables: TableStore, path: str, analyzer: str = "letters") -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -70,8 +71,15 @@ def broadcast_if_small(df: DataFrame, **limits: int) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares; in a local one only where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quire-")
+    """A fresh path in the folder that the cluster shares.
+
+    Without a cluster it may be a folder of its own; on one, spark.checkpoint.dir must be set.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="quire-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -75,12 +75,12 @@ class TableStore:
 def new_papers(existing: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
     """Papers whose id is new; of several rows with one id the first by ``order``.
 
-    Equal places in the order are told apart by the rows' contents, so the result does
+    Equal places in the order are told apart by digests of the rows, so the result does
     not depend on the partitioning.  The grouping combines before the shuffle and
     replaces a window over the ids.
     """
     columns = [c for c in incoming.columns if c != "id"]
-    place = F.struct(F.col(order).alias("place"), F.to_json(F.struct(*columns)).alias("row"))
+    place = F.struct(F.col(order).alias("place"), F.sha2(F.to_json(F.struct(*columns)), 256).alias("row"))
     first = incoming.groupBy("id").agg(F.min_by(F.struct(*columns), place).alias("row")).select("id", "row.*")
     return first.join(existing.select("id"), "id", "left_anti").select(*incoming.columns)
 
