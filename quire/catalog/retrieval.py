@@ -97,10 +97,17 @@ RESULTS_CTES = (
 )
 
 
-VOCABULARY_CTES = BM25_CTES[: BM25_CTES.index("  qt AS")].rstrip().rstrip(",")
+# Each term counts once per document, so no term frequencies are needed here.
+VOCABULARY_SQL = r"""
+  WITH tok AS MATERIALIZED (SELECT list_distinct(regexp_extract_all(lower(text), '\p{L}+')) AS t FROM documents),
+  voc AS MATERIALIZED (
+    SELECT term, df, ln((SELECT count(*) FROM tok) - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw
+    FROM (SELECT term, count(*) AS df FROM (SELECT unnest(t) AS term FROM tok) GROUP BY term)),
+  mean AS MATERIALIZED (SELECT avg(raw) AS raw FROM voc)
+  SELECT term, df, round(CASE WHEN voc.raw < 0 THEN 0.25::DOUBLE * mean.raw ELSE voc.raw END, 6) AS idf FROM voc, mean"""
 
 
-@query("bm25_vocabulary", "WITH " + VOCABULARY_CTES + " SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query("bm25_vocabulary", VOCABULARY_SQL)
 def bm25_vocabulary(spark, d):
     return index(spark, d).vocabulary.withColumn("idf", F.round("idf", 6))
 
@@ -165,10 +172,7 @@ def bm25_block_filtered(spark, d):
     return found.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
 
-@query(
-    "bm25_block_vocabulary",
-    "WITH " + VOCABULARY_CTES + " SELECT term, df, round(idf, 6) AS idf FROM idf",
-)
+@query("bm25_block_vocabulary", VOCABULARY_SQL)
 def bm25_block_vocabulary(spark, d):
     return written_blocks(spark, d).vocabulary.withColumn("idf", F.round("idf", 6))
 
