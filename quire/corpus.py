@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from quire.functions.ids import parse_chunk_id
 from quire.model import check_range, entity_type
-from quire.operators import bm25, browse, counts, pairs, vectors
+from quire.operators import bm25, browse, counts, pairs, postings, vectors
 from quire.operators.bm25 import Bm25Index
+from quire.operators.postings import BlockIndex
 from quire.plans import answers, enrichment
 from quire.plans.search import SearchConfig, search
 from quire.sources.store import TableStore
@@ -45,16 +46,18 @@ class Corpus:
     entities: DataFrame
     chunks: DataFrame | None = None
     embeddings: DataFrame | None = None
-    index: Bm25Index | None = None
+    index: Bm25Index | BlockIndex | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, index_path: str | None = None) -> Corpus:
-        """Corpus of the tables below ``root``, with a written index if there is one."""
+    def open(cls, spark: SparkSession, root: str, index_path: str | None = None, blocks_path: str | None = None) -> Corpus:
+        """Corpus of the tables below ``root``, with a written index, plain or of blocks, if there is one."""
         store = TableStore(spark, root)
         tables = {name: store.read(name) for name in ("papers", "authors", "entities", "chunks", "embeddings")}
         corpus = cls(**tables)
         if index_path is not None:
             corpus.index = bm25.read_index(spark, index_path)
+        if blocks_path is not None:
+            corpus.index = postings.read_blocks(spark, blocks_path)
         return corpus
 
     def build_index(self, analyzer: str = "letters") -> Bm25Index:

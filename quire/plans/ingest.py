@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quire.model import ENTITY_KINDS, TABLES
-from quire.operators import bm25, sketches, vectors
+from quire.operators import bm25, browse, postings, sketches, vectors
 from quire.operators.chunking import chunk_papers, stable_chunk_ids
 from quire.plans import enrichment
 from quire.sources import store
@@ -53,6 +53,18 @@ def rebuild_index(tables: TableStore, path: str, analyzer: str = "letters") -> N
     bm25.write_index(bm25.build_index(chunks, analyzer, id_column="id"), path, version=chunks_version(chunks))
 
 
+def rebuild_blocks(tables: TableStore, path: str, analyzer: str = "letters") -> None:
+    """The index of blocks, with year and venue of the papers to filter on."""
+    chunks = tables.read("chunks")
+    rows = browse.chunks_with_papers(chunks, tables.read("papers"))
+    postings.write_blocks(rows, path, analyzer, ("year", "venue"), chunks_version(chunks), id_column="id")
+
+
+def open_blocks(tables: TableStore, path: str) -> postings.BlockIndex:
+    """The written index of blocks; one that was built from other chunks is refused."""
+    return postings.read_blocks(tables.spark, path, version=chunks_version(tables.read("chunks")))
+
+
 def open_index(tables: TableStore, path: str) -> bm25.Bm25Index:
     """The written index; one that was built from other chunks is refused."""
     return bm25.read_index(tables.spark, path, version=chunks_version(tables.read("chunks")))

@@ -148,6 +148,14 @@ def test_corpus_tables(spark, publications, tmp_path):
     asked = spark.createDataFrame([(1, "bert", [1.0, 0.0])], "query_id int, query_text string, embedding array<float>")
     best = corpus.search(asked).orderBy("rank").first()
     assert best["paper_id"] == "hf_acl_ocl::X1" and best["title"] == "E"
+    blocks = str(tmp_path / "blocks")
+    ingest.rebuild_blocks(tables, blocks)
+    ingest.open_blocks(tables, blocks)
+    other = Corpus.open(spark, str(tmp_path / "snapshot"), blocks_path=blocks)
+    year = best["year"]
+    for bounds in ({}, {"year_min": year, "year_max": year}, {"year_min": year + 1}):
+        ranked = [[(r["rank"], r["chunk_id"]) for r in c.search(asked, **bounds).orderBy("rank").collect()] for c in (corpus, other)]
+        assert ranked[0] == ranked[1]
 
 
 def test_vectors_and_index_follow_the_chunks(spark, tmp_path):
