@@ -174,27 +174,62 @@ def shared_at_most(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
     return min(n_x - only_x, n_y - only_y)
 
 
-# Pairs that share the sets of their first document in one task.
-PAIRS_AT_ONCE = 256
+# A cell holds the sets of two blocks of documents and the pairs between them.  A block has
+# about so many documents and shingles at most, or one document.
+BLOCK_DOCUMENTS, BLOCK_SHINGLES = 64, 200_000
 
 
-def beside_heads(pairs: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
-    """``a, g, role, doc_id`` and the columns of ``values(doc_id, ...)``, each b of an a right after its a.
+def blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``doc_id, block`` of the documents in ``pairs(a, b)``; ``sizes(doc_id, n)`` has their sets' sizes.
 
-    Pairs of one a are dealt into groups g of about PAIRS_AT_ONCE; an a with more pairs
-    is sent to several groups, so it is no hot key.
+    Documents with the same smallest partner stand together, dealt into blocks by hash:
+    in a group of near copies all do, so that a set goes to one cell for each block of
+    partners, not for each partner.  Two blocks of one hash only make a larger cell.
     """
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).alias("groups"))
-    dealt = pairs.join(broadcast_if_small(groups), "a")
-    members = dealt.select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "groups").alias("g"), F.lit(1).alias("role"))
-    heads = members.select(F.col("a").alias("doc_id"), "a", "g").distinct().withColumn("role", F.lit(0))
-    rows = values.join(broadcast_if_small(members.unionByName(heads)), "doc_id").select("a", "g", "role", "doc_id", *columns)
-    return rows.repartition("a", "g").sortWithinPartitions("a", "g", "role")
+    ends = pairs.select(F.col("b").alias("doc_id"), "a").unionByName(pairs.select(F.col("a").alias("doc_id"), "a"))
+    placed = ends.groupBy("doc_id").agg(F.min("a").alias("label")).join(sizes, "doc_id")
+    placed = cut(placed.groupBy("doc_id", "label").agg(F.max("n").alias("n")))
+    parts = placed.groupBy("label").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_DOCUMENTS, F.sum("n") / BLOCK_SHINGLES)).alias("parts")
+    )
+    block = F.xxhash64("label", F.pmod(F.xxhash64("doc_id"), "parts"))
+    return cut(placed.join(broadcast_if_small(parts), "label").select("doc_id", block.alias("block")))
+
+
+def in_cells(pairs: DataFrame, placed: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
+    """``x, y, role, a, b`` and the columns of ``values(doc_id, ...)``, cell by cell.
+
+    The rows of role 0 are the cell's documents (as ``a``), those of role 1 its pairs.
+    """
+    side = lambda c, x: broadcast_if_small(placed.select(F.col("doc_id").alias(c), F.col("block").alias(x)))
+    dealt = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y", "a", "b")
+    members = dealt.select("x", "y", F.col("a").alias("doc_id")).unionByName(dealt.select("x", "y", F.col("b").alias("doc_id"))).distinct()
+    held = values.join(broadcast_if_small(members), "doc_id")
+    held = held.select("x", "y", F.lit(0).alias("role"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), *columns)
+    dealt = dealt.withColumn("role", F.lit(1)).select("x", "y", "role", "a", "b")
+    return held.unionByName(dealt, allowMissingColumns=True).repartition("x", "y").sortWithinPartitions("x", "y", "role")
+
+
+class Cell:
+    """What is known of the documents of the cell that is being read."""
+
+    def __init__(self) -> None:
+        self.key, self.held = None, {}
+
+    def enter(self, key: tuple) -> None:
+        if key != self.key:
+            self.key, self.held = key, {}
 
+    def add(self, doc_id: int, value) -> None:
+        """Repeated rows of an id are all kept."""
+        self.held.setdefault(doc_id, []).append(value)
 
-def possible(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    def both(self, a: int, b: int) -> Iterator[tuple]:
+        return ((x, y) for x in self.held.get(a, ()) for y in self.held.get(b, ()))
+
+
+def possible(pairs: DataFrame, placed: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) that the bitmaps of their sets do not rule out; no link is lost."""
-    wanted = broadcast_if_small(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -202,47 +237,61 @@ def possible(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
             arrays = [batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([b for _, b in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "bits"])
 
+    wanted = broadcast_if_small(placed.select("doc_id"))
     marked = docs.join(wanted, "doc_id", "left_semi").mapInArrow(mark, "doc_id long, n long, bits binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, x, n_x = None, b"", 0
+        cell = Cell()
         for batch in batches:
             keep = []
-            for a, g, role, b, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for x, y, role, a, b, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cell.enter((x, y))
                 if role == 0:
-                    head, x, n_x = (a, g), bits, n
-                elif head == (a, g):
-                    shared = shared_at_most(x, n_x, bits, n)
-                    if 100 * shared >= threshold * (n_x + n - shared):
+                    cell.add(a, (bits, n))
+                    continue
+                for (u, n_u), (v, n_v) in cell.both(a, b):
+                    shared = shared_at_most(u, n_u, v, n_v)
+                    if 100 * shared >= threshold * (n_u + n_v - shared):
                         keep.append((a, b))
+                        break
             columns = list(zip(*keep, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    return beside_heads(pairs, marked, ["n", "bits"]).mapInArrow(run, "a long, b long").distinct()
+    return in_cells(pairs, placed, marked, ["n", "bits"]).mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """``a, b, shared, n_a, n_b`` of the pairs of documents that link: bitmaps rule most others out, whole sets decide."""
-    pairs = cut(possible(cut(pairs), docs, threshold))
+def verified(pairs: DataFrame, sets: Sets, threshold: int) -> DataFrame:
+    """``a, b, shared, n_a, n_b`` of the different pairs of documents that link.
+
+    Bitmaps rule most others out, whole sets decide.
+    """
+    pairs = stored(pairs)
+    placed = blocks(pairs, sets.nodes.select(F.col("node").alias("doc_id"), "n"))
+    pairs = cut(possible(pairs, placed, sets.source, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, x = None, np.empty(0, np.uint64)
+        cell = Cell()
         for batch in slices(batches):
-            a, g, role, ids = (batch.column(k).to_pylist() for k in range(4))
+            rows = zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
             keep = []
-            for k, y in enumerate(shingle_sets(texts_of(batch.column(4)), WIDTH)):
-                if role[k] == 0:
-                    head, x = (a[k], g[k]), y.copy()
-                elif head == (a[k], g[k]) and len(x) and len(y):
-                    place = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    shared = int((y[place] == x).sum())
-                    if 100 * shared >= threshold * (len(x) + len(y) - shared):
-                        keep.append((a[k], ids[k], shared, len(x), len(y)))
+            for (x, y, role, a, b), found in zip(rows, shingle_sets(texts_of(batch.column(5)), WIDTH), strict=True):
+                cell.enter((x, y))
+                if role == 0:
+                    cell.add(a, found.copy())
+                    continue
+                for u, v in cell.both(a, b):
+                    if not len(u) or not len(v):
+                        continue
+                    place = np.minimum(np.searchsorted(v, u), len(v) - 1)
+                    shared = int((v[place] == u).sum())
+                    if 100 * shared >= threshold * (len(u) + len(v) - shared):
+                        keep.append((a, b, shared, len(u), len(v)))
+                        break
             columns = list(zip(*keep, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "shared", "n_a", "n_b"])
 
-    found = beside_heads(pairs, docs, ["text"]).mapInArrow(run, "a long, b long, shared long, n_a long, n_b long")
-    return found.dropDuplicates(["a", "b"])  # repeated rows of an id
+    found = in_cells(pairs, placed, sets.source, ["text"])
+    return found.mapInArrow(run, "a long, b long, shared long, n_a long, n_b long")
 
 
 @dataclass
@@ -280,16 +329,11 @@ class Sets:
 def all_links(sets: Sets, threshold: int, most_nodes: int = MOST_NODES) -> DataFrame:
     """``a, b, shared, n_a, n_b`` of all links between nodes, a < b."""
 
-    def indexed(frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
-        """The rows of keys that several nodes have, and the number of nodes of each such key."""
-        rows = sets.keyed(frequent, threshold)
-        several = cut(rows.groupBy("key").agg(F.count("*").alias("nodes")).filter("nodes > 1"))
-        return stored(rows.join(several.select("key"), "key", "left_semi")), several
-
-    index, several = indexed(np.empty(0, np.uint64))
-    frequent = held_tokens(several.filter(F.col("nodes") > most_nodes).select(F.col("key").alias("token")))
-    if len(frequent):
-        index, _ = indexed(frequent)
+    # Only the counts of the keys that many nodes have leave the first pass.
+    counts = sets.keyed(np.empty(0, np.uint64), threshold).groupBy("key").agg(F.count("*").alias("nodes"))
+    frequent = held_tokens(cut(counts.filter(F.col("nodes") > most_nodes).select(F.col("key").alias("token"))))
+    # Both sides of the join are one shuffle of the index; keys of one node end there.
+    index = sets.keyed(frequent, threshold)
     left, right = (
         index.select(
             F.col("key").alias(f"key_{x}"), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}"),
@@ -300,7 +344,7 @@ def all_links(sets: Sets, threshold: int, most_nodes: int = MOST_NODES) -> DataF
     # Places rise along the keys of a set, so the pair passes for the key before as well.
     first = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
     tried = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & first & may_link("a", "b", threshold))
-    return verified(tried.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets.source, threshold)
+    return verified(tried.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, threshold)
 
 
 def jaccard_links(
@@ -351,8 +395,6 @@ def jaccard_components(
 
 def linked_components(sets: Sets, threshold: int, most_pairs: int) -> DataFrame:
     """``a, b`` of links that join the same components as all links do."""
-    source = sets.source
-
     def indexed(frequent: np.ndarray) -> DataFrame:
         """``key, node, pos, n, head, pos_h, n_h`` of keys that several nodes have; head is the smallest of them."""
         # Size and place travel as one number.
@@ -378,7 +420,7 @@ def linked_components(sets: Sets, threshold: int, most_pairs: int) -> DataFrame:
     heads = heads.filter(may_link("a", "b", threshold)).groupBy("a", "b").agg(F.count("*").alias("keys"))
     heads = heads.groupBy("b").agg(F.min(F.struct(-F.col("keys"), "a")).alias("best"))
     heads = cut(heads.select(F.col("best.a").alias("a"), "b"))
-    links = cut(verified(heads, source, threshold).select("a", "b"))
+    links = cut(verified(heads, sets, threshold).select("a", "b"))
 
     def by_component(index: DataFrame) -> DataFrame:
         """``key, pos, node, n, component`` of the keys whose nodes are in different components."""
@@ -412,7 +454,7 @@ def linked_components(sets: Sets, threshold: int, most_pairs: int) -> DataFrame:
         tries = tries.groupBy("a", "b").agg(F.count("*").alias("keys"))
         order = Window.partitionBy("b").orderBy(F.desc("keys"), F.xxhash64("a", "b", F.lit(turn)))
         tries = tries.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TRIES).select("a", "b")
-        links = cut(links.unionByName(verified(tries, source, threshold).select("a", "b")))
+        links = cut(links.unionByName(verified(tries, sets, threshold).select("a", "b")))
     frequent = held_tokens(dense.select(F.col("key").alias("token")))
     if len(frequent):
         placed = by_component(indexed(frequent))
@@ -422,7 +464,7 @@ def linked_components(sets: Sets, threshold: int, most_pairs: int) -> DataFrame:
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
     rest = left.join(right, (F.col("key_a") == F.col("key_b")) & apart & may_link("a", "b", threshold))
     rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    return links.unionByName(verified(rest, source, threshold).select("a", "b"))
+    return links.unionByName(verified(rest, sets, threshold).select("a", "b"))
 
 
 MOST_FREQUENT = 4_000_000

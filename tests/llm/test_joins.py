@@ -45,6 +45,38 @@ def test_jaccard_odd_rows(odd, nothing):
     assert jaccard_components(nothing).count() == 0
 
 
+@pytest.mark.parametrize("documents, held", [(3, 200_000), (64, 40)])
+def test_links_in_small_blocks(monkeypatch, docs, documents, held):
+    from quire.llm import jaccard_join
+
+    whole = sorted(map(tuple, jaccard_links(docs, most_nodes=3).collect()))
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCUMENTS", documents)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", held)
+    assert sorted(map(tuple, jaccard_links(docs, most_nodes=3).collect())) == whole and len(whole) > 40
+
+
+def test_links_of_a_large_group(spark):
+    """600 texts near one original, above the threshold and below it."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(600):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    sets = {i: shingles(t) for i, t in rows}
+    expected = set()
+    for a in range(600):
+        for b in range(a + 1, 600):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                expected.add((a, b, both, len(sets[a]), len(sets[b])))
+    found = jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+    assert 1_000 < len(expected) < 600 * 599 // 2
+
+
 def test_linked_sets_share_an_index_key():
     import numpy as np
 
