@@ -2,12 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.shared import cut
 
 
+NODES_AT_ONCE = 200_000  # of one forest
+
+
+def forests(links: DataFrame) -> DataFrame:
+    """``a, b`` of fewer links with the same components.
+
+    Each task puts the links that it reads into trees and passes on a link to its root for
+    each node, after NODES_AT_ONCE nodes at the latest.  A dense group costs its nodes, not its links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(node: int) -> int:
+            while parent[node] != node:
+                parent[node] = node = parent[parent[node]]
+            return node
+
+        def trees() -> pa.RecordBatch:
+            found = [(node, root(node)) for node in parent]
+            ends = list(zip(*(f for f in found if f[0] != f[1]), strict=True)) or [[], []]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+            if len(parent) > NODES_AT_ONCE:
+                yield trees()
+        yield trees()
+
+    links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
+    return links.mapInArrow(run, "a long, b long")
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node in ``links(a, b)``; a component is its smallest node.
 
@@ -18,7 +59,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     cut, so a lost executor costs no more than the round it works on.
     """
     edges = cut(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+        forests(links).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     )
     while True:
         # Large star: every larger neighbour of a node is tied to the node's smallest one.

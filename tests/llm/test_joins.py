@@ -107,6 +107,21 @@ def test_components_of_long_paths_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_forests_keep_components(monkeypatch, spark):
+    from quire.llm import components
+
+    rng = random.Random(4)
+    links = [(a, b) for g in range(3) for a in range(100 * g, 100 * g + 60) for b in range(a + 1, 100 * g + 60) if rng.random() < 0.3]
+    links += [(None, 4), (5, None), (7, 7)]
+    rng.shuffle(links)
+    frame = spark.createDataFrame(links, "a long, b long").repartition(3)
+    assert components.forests(frame).count() <= 3 * 3 * 59
+    expected = {100 * g + k: 100 * g for g in range(3) for k in range(60)}
+    for most in (components.NODES_AT_ONCE, 5):
+        monkeypatch.setattr(components, "NODES_AT_ONCE", most)
+        assert {r["node"]: r["component"] for r in connected_components(frame).collect()} == expected
+
+
 def test_items_are_found_in_short_and_long_texts(spark, docs, texts):
     long = texts[-1].split()
     rng = random.Random(3)
