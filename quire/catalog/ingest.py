@@ -10,7 +10,7 @@ from quire.catalog.texts import CHUNKS_SQL
 from quire.operators import browse, ratelimit
 from quire.operators.chunking import chunk_papers, stable_chunk_ids
 from quire.plans.ingest import pair_vectors
-from quire.session import scratch_folder
+from quire.session import broadcast_if_small, scratch_folder
 from quire.sources import fulltext, papers, store
 from quire.streaming.ratelimit import admit_stream
 
@@ -109,6 +109,24 @@ def sample_most_papers(spark, d):
     return papers.sample(v.papers(spark, d), 12_000, "id").select("id", "title", "year", "venue")
 
 
+@query(
+    "snapshot_papers",
+    "SELECT id, title, year, venue, 'papers/v1/' AS folder FROM papers",
+    ("papers",),
+)
+def snapshot_papers(spark, d):
+    """Papers stored, copied to another place and read there, each from a file that the listing names."""
+    rows = v.papers(spark, d).select("id", "title", "year", "venue")
+    tables = store.TableStore(spark, scratch_folder(spark, "store"), {"papers": rows.schema})
+    tables.create()
+    tables.overwrite("papers", rows)
+    there = store.TableStore(spark, scratch_folder(spark, "snapshot"), tables.schemas)
+    tables.copy_to(there.root)
+    listed = there.files("papers/").select(F.substring_index("path", "/", -1).alias("file"), F.regexp_extract("path", "^.*/", 0).alias("folder"))
+    found = there.read("papers").withColumn("file", F.substring_index(F.input_file_name(), "/", -1))
+    return found.join(broadcast_if_small(listed), "file").select("id", "title", "year", "venue", "folder")
+
+
 @query(
     "dedup_append",
     """SELECT id, title || ' (first)' AS title, year, venue FROM papers

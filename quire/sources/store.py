@@ -68,6 +68,20 @@ class TableStore:
         for name in self.schemas:
             target.overwrite(name, self.read(name))
 
+    def files(self, prefix: str = "") -> DataFrame:
+        """``path, length`` of the stored files whose path below the root starts with ``prefix``.
+
+        All versions are listed, contents are not read.
+        """
+        if not path_exists(self.spark, self.root):
+            return self.spark.createDataFrame([], "path string, length long")
+        location = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = location.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        root = system.makeQualified(location).toString().rstrip("/")
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root)
+        path = F.substr("path", F.lit(len(root) + 2))
+        return found.select(path.alias("path"), "length").filter(F.col("path").startswith(prefix))
+
     def complete(self) -> bool:
         return all(self.exists(name) for name in self.schemas)
 

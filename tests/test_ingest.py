@@ -332,3 +332,17 @@ def test_appended_entities_are_counted_and_sketched(spark, tmp_path):
     store.append("entities", rows(9000, 9010))
     again = {r["entity_type"]: r for r in sketches.estimates(ingest.entity_sketches(store)).collect()}
     assert again["method"]["rows"] == 5010 and abs(again["method"]["papers"] - 4010) < 80
+
+
+def test_files_by_prefix(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = spark.range(10)
+    tables = TableStore(spark, root, {"a": rows.schema, "ab": rows.schema})
+    assert tables.files().count() == 0
+    tables.overwrite("a", rows.repartition(3))
+    tables.overwrite("a", rows.repartition(2))
+    tables.overwrite("ab", rows.coalesce(1))
+    found = tables.files().collect()
+    folders = sorted(r["path"].rsplit("/", 1)[0] for r in found)
+    assert folders == ["a/v1"] * 3 + ["a/v2"] * 2 + ["ab/v1"] and all(r["length"] > 0 for r in found)
+    assert tables.files("a/").count() == 5 and tables.files("a/v2/").count() == 2 and tables.files("b").count() == 0
