@@ -387,7 +387,8 @@ def jaccard_components(
     """
     sets = Sets.of(docs, doc_id, text)
     links = linked_components(sets, threshold, most_pairs) if shortcut else all_links(sets, threshold)
-    labels = connected_components(links.select("a", "b"))
+    # Written first: a task that verifies and builds forests at once would hold two Python workers.
+    labels = connected_components(stored(links.select("a", "b")))
     out = sets.members().join(labels, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     alone = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id"))
