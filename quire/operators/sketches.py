@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.model import ENTITY_KINDS
 
-LOG_SIZE = 14  # of a sketch; its standard error is 1.04 / 2**7, 0.8 %
+LOG_SIZE = 17  # of a sketch, at most 128 KiB; its standard error is 1.04 / 2**8.5, 0.3 %
 
 
 def distinct_sketches(entities: DataFrame) -> DataFrame:

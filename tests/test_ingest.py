@@ -346,3 +346,15 @@ def test_files_by_prefix(spark, tmp_path):
     folders = sorted(r["path"].rsplit("/", 1)[0] for r in found)
     assert folders == ["a/v1"] * 3 + ["a/v2"] * 2 + ["ab/v1"] and all(r["length"] > 0 for r in found)
     assert tables.files("a/").count() == 5 and tables.files("a/v2/").count() == 2 and tables.files("b").count() == 0
+
+
+def test_united_sketches_stay_within_two_percent(spark):
+    """Ids that a sketch of 2**14 slots takes for 97,415."""
+    from pyspark.sql import functions as F
+    from quire.operators import sketches
+
+    paper = F.concat(F.lit("orders::"), "id")
+    rows = spark.range(9_400_000, 9_500_000).select(F.lit("task").alias("entity_type"), paper.alias("name"), paper.alias("paper_id"))
+    late = F.pmod(F.xxhash64("paper_id"), F.lit(2)) == 1
+    found = sketches.estimates(sketches.united(*[sketches.distinct_sketches(rows.filter(c)) for c in (~late, late)])).first()
+    assert found["rows"] == 100_000 and all(abs(found[n] - 100_000) <= 2_000 for n in ("names", "papers"))
