@@ -31,6 +31,7 @@ class Bm25Index:
     analyzer: str = "letters"
     k1: float = 1.5
     b: float = 0.75
+    size: DataFrame | None = None  # one row: chunks, counted without analyzing them
 
 
 def build_index(
@@ -85,7 +86,8 @@ def build_index(
     # negative weight.
     floor = F.lit(epsilon) * terms.select(F.avg("plain_idf")).scalar()
     idf = F.when(F.col("plain_idf") < 0, floor).otherwise(F.col("plain_idf"))
-    return Bm25Index(occurrences, terms.select("term", "df", idf.alias("idf")), totals, analyzer, k1, b)
+    size = chunks.select(F.count("*").alias("chunks"))
+    return Bm25Index(occurrences, terms.select("term", "df", idf.alias("idf")), totals, analyzer, k1, b, size)
 
 
 # Folders that the postings of a written index are dealt into, by term.
@@ -129,6 +131,7 @@ def read_index(spark: SparkSession, path: str, version: str | None = None) -> Bm
         row["analyzer"],
         row["k1"],
         row["b"],
+        totals.select("chunks"),
     )
 
 
@@ -150,6 +153,31 @@ def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
     return terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+# Rows that a task of a search holds at a time, about 150 bytes each with their sort.
+TASK_ROWS = 2_000_000
+# Different terms of the queries that a chunk is taken to hold when its rows are reckoned.
+CHUNK_TERMS = 256
+MAX_PARTITIONS = 50_000
+
+
+def by_chunk(index: Bm25Index, terms: DataFrame, hits: DataFrame) -> DataFrame:
+    """``hits`` hashed by chunk, into partitions whose tasks hold about TASK_ROWS rows at most.
+
+    A chunk becomes a row for each of its terms and one for each query.  The bytes that
+    move tell nothing of this, so adaptive execution would make as many tasks as there are
+    cores, whatever the number of chunks.
+    """
+    spark = hits.sparkSession
+    size = index.totals if index.size is None else index.size
+    chunks = size.select("chunks").first()["chunks"]
+    asked = terms.agg(F.count_distinct("query_id").alias("queries"), F.count_distinct("term").alias("terms")).first()
+    rows = chunks * (asked["queries"] + min(asked["terms"], CHUNK_TERMS))
+    parts = min(-(-rows // TASK_ROWS), MAX_PARTITIONS)
+    if parts <= spark.sparkContext.defaultParallelism:
+        return hits.repartition("chunk_id")
+    return hits.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk_id")
+
+
 def score(index: Bm25Index, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk with a positive score.
 
@@ -168,12 +196,10 @@ def score(index: Bm25Index, queries: DataFrame) -> DataFrame:
         keyed = pruned(index.occurrences, wanted).join(F.broadcast(wanted), "term")
     else:
         keyed = index.occurrences.join(wanted, "term", "left_semi").withColumn("key", F.col("term"))
-    hits = (
-        keyed.select("chunk_id", "length", "key", "tf")
-        .repartition("chunk_id")
-        .groupBy("chunk_id", "length", "key")
-        .agg(F.sum("tf").alias("tf"))
-    )
+    hits = keyed.select("chunk_id", "length", "key", "tf")
+    # With many queries their pairs with chunks are hashed again, and aggregated before.
+    hits = by_chunk(index, terms, hits) if small else hits.repartition("chunk_id")
+    hits = hits.groupBy("chunk_id", "length", "key").agg(F.sum("tf").alias("tf"))
     avg_length = index.totals.select("avg_length").scalar()
     norm = F.lit(1 - index.b) + F.lit(index.b) * F.col("length") / avg_length
     hits = hits.select(

@@ -222,3 +222,20 @@ def test_fallback_backend():
     assert backend.generate("x").model == "second" and backend.fell_back and backend.name == "second"
     with pytest.raises(ValueError):
         WithFallback(Stub(ValueError("bad")), Stub()).generate("x")
+
+
+def test_tasks_of_a_search_grow_in_number_with_chunks_and_queries(spark, monkeypatch):
+    def planned(chunks, queries):
+        texts = spark.range(chunks).select(F.col("id").alias("chunk_id"), F.concat(F.lit("word more"), F.col("id") % 7).alias("chunk_text"))
+        asked = spark.range(queries).select(F.col("id").alias("query_id"), F.lit("word more").alias("query_text"))
+        scored = bm25.score(bm25.build_index(texts), asked)
+        found = re.findall(r"chunk_id#\d+L, (\d+)\), REPARTITION_BY_NUM", scored._jdf.queryExecution().executedPlan().toString())
+        return int(found[0]) if found else None, scored
+
+    assert planned(100, 10)[0] is None  # adaptive execution cuts small searches
+    assert planned(100_000, 500)[0] == 26  # before: a task for each core
+    assert planned(200_000, 500)[0] == 51
+    few = {tuple(r) for r in planned(300, 5)[1].collect()}
+    monkeypatch.setattr(bm25, "TASK_ROWS", 100)
+    number, scored = planned(300, 5)
+    assert number == 21 and {tuple(r) for r in scored.collect()} == few
