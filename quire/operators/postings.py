@@ -31,8 +31,9 @@ from quire.operators.bm25 import MAX_PUSHED_TERMS, SCORE_UNIT, query_terms, top_
 from quire.operators.vectors import compile_where
 from quire.session import hold_if_small
 
-SHARD_CHUNKS = 16_384
-SHARD_BYTES = 64 << 20  # of text
+# One Python worker builds a shard: 8,192 chunks (25 MB of text) take 95 MB beside the table of their words.
+SHARD_CHUNKS = 8_192
+SHARD_BYTES = 32 << 20  # of text
 BLOCK = 32  # chunks that one block ranges over
 MAX_BUCKETS = 8_192
 MAX_QUERIES = 4_096  # that one pass over the index answers
@@ -88,31 +89,46 @@ def _build_shard(shard: pa.Table, schema: pa.Schema, meta: list[str]) -> pa.Tabl
 
     A block of chunks of much the same length has a tight bound.
     """
-    shard = shard.append_column("length", pc.fill_null(pc.list_value_length(shard["terms"]), 0))
-    shard = shard.take(pc.sort_indices(shard, [("length", "ascending"), ("chunk_id", "ascending")]))
-    lists = shard["terms"].combine_chunks()
-    lengths = shard["length"].to_numpy().astype(np.int64)
-    number = shard["shard"][0].as_py()
-    told = pa.StructArray.from_arrays([shard[m].combine_chunks() for m in meta], meta).to_pylist() if meta else None
-    chunks = dict.fromkeys(schema.names) | {"shard": number, "term": "", "n": len(lengths), "ids": shard["chunk_id"].to_pylist(), "lengths": lengths.tolist(), "meta": told}
+    lengths = pc.fill_null(pc.list_value_length(shard["terms"]), 0)
+    # The terms stay where they are, only the places of their chunks are put in order.
+    order = pc.sort_indices(pa.table({"length": lengths, "chunk_id": shard["chunk_id"]}), [("length", "ascending"), ("chunk_id", "ascending")])
+    lengths, number = lengths.to_numpy().astype(np.int64), shard["shard"][0].as_py()
+    place = np.empty(len(lengths), np.int32)
+    place[order.to_numpy()] = np.arange(len(lengths))
+    doc = np.repeat(place, lengths)
+    lengths = lengths[order.to_numpy()]
+    told = pa.StructArray.from_arrays([shard[m].take(order).combine_chunks() for m in meta], meta).to_pylist() if meta else None
+    ids = shard["chunk_id"].take(order).to_pylist()
+    chunks = dict.fromkeys(schema.names) | {"shard": number, "term": "", "n": len(lengths), "ids": ids, "lengths": lengths.tolist(), "meta": told}
     head = pa.table({k: [v] for k, v in chunks.items()}, schema=schema)
-    words = lists.flatten().dictionary_encode()
-    if not len(words):
+    if not len(doc):
         return head
+    words = pa.chunked_array([c.flatten() for c in shard["terms"].chunks]).dictionary_encode().combine_chunks()
     # Numbers of the terms in their order, which is the order of the rows.
     by_name = pc.sort_indices(words.dictionary).to_numpy()
     rank = np.empty(len(by_name), np.int64)
     rank[by_name] = np.arange(len(by_name))
-    key = rank[words.indices.to_numpy(zero_copy_only=False)] * len(lengths) + np.repeat(np.arange(len(lengths)), lengths)
-    key, counts = np.unique(key, return_counts=True)
-    term, doc, counts = key // len(lengths), (key % len(lengths)).astype(np.int32), counts.astype(np.int32)
+    names = words.dictionary.take(pa.array(by_name))
+    # One array of a number for each word, sorted in place: a shard's memory is little more than this and its words.
+    key = rank[words.indices.to_numpy(zero_copy_only=False)]
+    del words
+    key *= len(lengths)
+    key += doc
+    del doc
+    key.sort()
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    counts = np.diff(starts, append=len(key)).astype(np.int32)
+    key = key[starts]
+    del starts
+    term, doc = key // len(lengths), (key % len(lengths)).astype(np.int32)
+    del key
     # Blocks: where the term or the range of chunks changes.
     edge = np.flatnonzero(np.diff(term * (len(lengths) // BLOCK + 1) + doc // BLOCK, prepend=-1))
     first = np.searchsorted(term, np.arange(len(by_name) + 1))
     first_block = np.searchsorted(term[edge], np.arange(len(by_name) + 1))
     columns = {
         "shard": pa.array(np.full(len(by_name), number, np.int32)),
-        "term": words.dictionary.take(pa.array(by_name)),
+        "term": names,
         "n": pa.array(np.diff(first).astype(np.int64)),
         "docs": _bytes(doc, first),
         "counts": _bytes(counts, first),

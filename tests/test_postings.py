@@ -111,3 +111,23 @@ def test_search_plan_takes_blocks(spark, chunks, queries, written):
     found = hybrid_search(postings.read_blocks(spark, written), None, queries, config, where)
     plain = hybrid_search(bm25.build_index(chunks), None, queries, config, where, chunks)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_a_shard_is_built_in_little_more_than_its_words():
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    terms = [[f"word{(i * j) % 53}" for j in range(500)] for i in range(2_000)]
+    shard = pa.table({"shard": pa.array([1] * 2_000, pa.int32()), "chunk_id": pa.array(range(2_000), pa.int64()), "terms": pa.array(terms, pa.list_(pa.string()))})
+    schema = to_arrow_schema(postings._schema(T.LongType(), []))
+    tracemalloc.start()  # of numpy, not of Arrow
+    try:
+        rows = postings._build_shard(shard, schema, [])
+        taken = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows.num_rows == 54 and rows["n"].to_pylist()[0] == 2_000
+    assert taken < 15 * 1_000_000  # bytes a word
