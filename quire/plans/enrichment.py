@@ -140,4 +140,5 @@ def run_stats(worklist: DataFrame, enriched: DataFrame, model_answers: DataFrame
         F.count_if(~F.col("blank") & ok).alias("model_used"),
         F.count_if(~F.col("blank") & ~ok).alias("fallback_used"),
     )
-    return work.withColumns({c: totals.select(c).scalar() for c in totals.columns})
+    # Two single rows: scalars of ``totals`` would run the extraction once for each column.
+    return work.crossJoin(totals)

@@ -156,3 +156,14 @@ def test_service_takes_a_lexicon_frame(spark, papers, entities, tmp_path):
     assert {r["paper_id"] for r in store.read("entities").collect()} == {"s::P18-1001"}
     ingest.enrich_papers(store, lexicon)
     assert {r["name"] for r in store.read("entities").collect()} == {"question answering", "nothing KNOWN"}
+
+
+def test_run_stats_extract_once(spark):
+    papers = spark.createDataFrame([(f"p{i}", "", "alpha beta" if i % 2 else "gamma") for i in range(6)], "id string, title string, abstract string")
+    lexicon = spark.createDataFrame([("method", "alpha", 0), ("task", "gamma", 1)], "entity_type string, name string, ord int")
+    stats = enrichment.run_stats(papers, enrichment.enrich(papers, lexicon))
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one shard of names, read once
+    assert stats.first().asDict() == {
+        "processed": 6, "skipped": 0, "model_used": 0, "fallback_used": 6,
+        "total_methods": 3, "total_datasets": 0, "total_tasks": 3, "total_topics": 0,
+    }
