@@ -156,3 +156,38 @@ def test_pipeline_stages_on_odd_rows(spark, odd, nothing):
         found = stage(spark, odd, d)
         assert found.count() <= 12
     assert corpus_pipeline.near_copies(spark, odd, d).filter("doc_id = 2").count() == 1
+
+
+def test_plain_pieces_are_encoded_by_the_model_with_the_ids_of_whole_texts():
+    from quire.llm import token_store
+
+    encoder = token_store.Encoder(token_store.default_vocabulary())
+    whole, given = encoder.tokenizer, []
+
+    class Counting:
+        def encode(self, text, **options):
+            return whole.encode(text, **options)
+
+        def encode_batch(self, pieces, **options):
+            given.extend(pieces)
+            return whole.encode_batch(pieces, **options)
+
+    encoder.tokenizer = Counting()
+    texts = ["Déjà vu,\nein Straße. œuvre", "a1b2 x=3;y #tag $$$ (z)\nnext line", "don't 'tis you're", "mixed Жук 中文 x² ª ſſ ½", "", " ", "tab\tx \n y"]
+    rng = random.Random(3)
+    signs = "abZéÀÿœſ×÷ª012.,;!'$\"#~`^_|{}[]\\@&* \n\t ²µßЖ中-—"
+    texts += ["".join(rng.choice(signs) if rng.random() < 0.4 else rng.choice("abcé the") for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
+    expected = [np.array(whole.encode(t, add_special_tokens=False).ids, encoder.kind).tobytes() for t in texts]
+    assert encoder(texts) == expected
+    given.clear()
+    assert encoder(texts[:2]) == expected[:2]
+    fresh = ["Quorvel blästen,\nzimt. œrt", "p7q8 v=9;w #mark %%% (t)\nlines"]
+    assert encoder(fresh) == [np.array(whole.encode(t, add_special_tokens=False).ids, encoder.kind).tobytes() for t in fresh]
+    assert set(given) <= {".", ",", "\n"}  # before: every piece was encoded as a text of its own
+
+
+def test_remembered_pieces_of_two_workers_take_little_memory():
+    from quire.llm import token_store
+
+    # Two generations, two workers of an executor, some 220 bytes a piece: 132 MB (before: 352 MB).
+    assert 2 * 2 * token_store.PIECES_HELD * 220 <= 150_000_000
