@@ -58,6 +58,8 @@ MOST_NODES = 200
 # component, before all that is left is tried; they change the work, not the links.
 ROUNDS, TRIES = 2, 8
 SEED = np.uint64(0x9E3779B97F4A7C15)
+# Least hashes of a set by which near copies find the head of their class.
+LEAST_HASHES = 4
 
 
 def prefix_length(size: int, threshold: int = THRESHOLD, k: int = COMBINATION) -> int:
@@ -117,20 +119,28 @@ def signature(hashes: np.ndarray) -> bytes:
     return one.tobytes() + two.tobytes()
 
 
+def least_hashes(hashes: np.ndarray) -> list[int]:
+    """The least of a set's hashes in several orders; two sets share one as often as their Jaccard similarity."""
+    with np.errstate(over="ignore"):
+        return [int(mix(hashes + SEED * np.uint64(k + 2)).min().view(np.int64)) for k in range(LEAST_HASHES)] if len(hashes) else []
+
+
 def signed_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, sig`` of each document."""
+    """``doc_id, n_shingles, sig, least`` of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sizes, sigs = [], []
+            sizes, sigs, least = [], [], []
             for hashes in shingle_sets(texts_of(batch.column(1)), WIDTH):
                 sizes.append(len(hashes))
                 sigs.append(signature(hashes))
+                least.append(least_hashes(hashes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "sig"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(least, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "sig", "least"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, least array<long>")
 
 
 def keyed_sets(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
@@ -299,8 +309,8 @@ class Sets:
     """The sets of documents: one node for all that are equal."""
 
     source: DataFrame  # doc_id, text
-    base: DataFrame  # doc_id, n_shingles, sig of each row
-    nodes: DataFrame  # sig, node, n
+    base: DataFrame  # doc_id, n_shingles, sig, least of each row
+    nodes: DataFrame  # sig, node, n, least
     others: DataFrame  # ids that stay out of the index
 
     @staticmethod
@@ -308,7 +318,7 @@ class Sets:
         source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
         base = stored(signed_sets(source))
         nodes = base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig")
-        nodes = stored(nodes.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")))
+        nodes = stored(nodes.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("least").alias("least")))
         # Copies and texts that only equal texts can link with stay out of the index.
         others = base.select("doc_id").join(nodes.filter("n > 1").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
         return Sets(source, base, nodes, broadcast_if_small(cut(others.filter("doc_id IS NOT NULL").distinct())))
@@ -317,33 +327,51 @@ class Sets:
         named = self.base.join(self.nodes.select("sig", "node"), "sig", "left")
         return named.select("doc_id", "n_shingles", "node", "sig")
 
-    def keyed(self, frequent: np.ndarray, threshold: int) -> DataFrame:
-        """``key, node, n, at, before`` of the nodes: the place of a key and the key before it."""
+    def keyed(self, frequent: np.ndarray, threshold: int, classes: DataFrame | None = None) -> DataFrame:
+        """``key, node, n, at, before, class`` of the nodes: the place of a key and the key before it.
+
+        ``class`` is that of ``classes(node, component)``, null for a node that is in none.
+        """
         keyed = keyed_sets(self.source, frequent, threshold).filter("doc_id IS NOT NULL").join(self.others, "doc_id", "left_anti")
-        keyed = keyed.select("doc_id", "n", F.posexplode("keys").alias("i", "key"), "keys", "places")
+        keyed = keyed.withColumn("class", F.lit(None).cast("long"))
+        if classes is not None:
+            found = broadcast_if_small(classes.select(F.col("node").alias("doc_id"), F.col("component").alias("class")))
+            keyed = keyed.drop("class").join(found, "doc_id", "left")
+        keyed = keyed.select("doc_id", "n", "class", F.posexplode("keys").alias("i", "key"), "keys", "places")
         return keyed.select(
-            "key", F.col("doc_id").alias("node"), "n", F.get("places", F.col("i")).alias("at"), F.get("keys", F.col("i") - 1).alias("before")
+            "key", F.col("doc_id").alias("node"), "n", F.get("places", F.col("i")).alias("at"), F.get("keys", F.col("i") - 1).alias("before"), "class"
         )
 
 
-def all_links(sets: Sets, threshold: int, most_nodes: int = MOST_NODES) -> DataFrame:
-    """``a, b, shared, n_a, n_b`` of all links between nodes, a < b."""
+def head_links(sets: Sets, threshold: int) -> DataFrame:
+    """``a, b`` of links between a node and the smallest one with a least hash of its own: LEAST_HASHES pairs a node at most are tried."""
+    spots = sets.nodes.filter("n > 1").select("node", "n", F.posexplode("least").alias("i", "h"))
+    heads = spots.groupBy("i", "h").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("last")).filter("head.node <> last")
+    heads = heads.select("i", "h", F.col("head.node").alias("a"), F.col("head.n").alias("n_a"))
+    near = 100 * F.least("n", "n_a") >= threshold * F.greatest("n", "n_a")
+    pairs = spots.join(heads, ["i", "h"]).filter((F.col("a") < F.col("node")) & near).select("a", F.col("node").alias("b")).distinct()
+    return stored(verified(pairs, sets, threshold).select("a", "b"))
+
+
+def all_links(sets: Sets, threshold: int, most_nodes: int = MOST_NODES, classes: DataFrame | None = None) -> DataFrame:
+    """``a, b, shared, n_a, n_b`` of all links between nodes, a < b; with ``classes`` of those between different classes."""
 
     # Only the counts of the keys that many nodes have leave the first pass.
     counts = sets.keyed(np.empty(0, np.uint64), threshold).groupBy("key").agg(F.count("*").alias("nodes"))
     frequent = held_tokens(cut(counts.filter(F.col("nodes") > most_nodes).select(F.col("key").alias("token"))))
     # Both sides of the join are one shuffle of the index; keys of one node end there.
-    index = sets.keyed(frequent, threshold)
+    index = sets.keyed(frequent, threshold, classes)
     left, right = (
         index.select(
             F.col("key").alias(f"key_{x}"), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}"),
-            F.col("at").alias(f"pos_{x}"), F.col("before").alias(f"before_{x}"),
+            F.col("at").alias(f"pos_{x}"), F.col("before").alias(f"before_{x}"), F.col("class").alias(f"class_{x}"),
         )
         for x in "ab"
     )
     # Places rise along the keys of a set, so the pair passes for the key before as well.
     first = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
-    tried = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & first & may_link("a", "b", threshold))
+    apart = F.coalesce(F.col("class_a") != F.col("class_b"), F.lit(True))
+    tried = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & apart & first & may_link("a", "b", threshold))
     return verified(tried.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, threshold)
 
 
@@ -382,13 +410,21 @@ def jaccard_components(
     their component is that of the texts they link with, else null.  Repeated rows come
     out once each.  Ids must name one text; other columns are not read.
 
-    Components follow from all links.  ``shortcut`` gives the same components without
-    trying pairs that are in one already; ``most_pairs`` is its measure of dense groups.
+    Near copies are linked with the head of their class first, and then all pairs are
+    tried whose nodes are not in one class already: a group of near copies costs its nodes,
+    not its pairs, and no component can change.  ``jaccard_links`` has all links.
+    ``shortcut`` gives the same components from fewer links between classes;
+    ``most_pairs`` is its measure of dense groups.
     """
     sets = Sets.of(docs, doc_id, text)
-    links = linked_components(sets, threshold, most_pairs) if shortcut else all_links(sets, threshold)
-    # Written first: a task that verifies and builds forests at once would hold two Python workers.
-    labels = connected_components(stored(links.select("a", "b")))
+    if shortcut:
+        # Written first: a task that verifies and builds forests at once would hold two Python workers.
+        links = stored(linked_components(sets, threshold, most_pairs).select("a", "b"))
+    else:
+        inside = head_links(sets, threshold)
+        classes = cut(connected_components(inside))
+        links = inside.unionByName(stored(all_links(sets, threshold, classes=classes).select("a", "b")))
+    labels = connected_components(links)
     out = sets.members().join(labels, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     alone = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id"))

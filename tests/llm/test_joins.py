@@ -180,3 +180,29 @@ def test_all_links_of_distinct_sets(docs, texts, most_nodes):
 def test_shortcut_gives_the_same_components(docs):
     whole, short = (sorted(map(tuple, jaccard_components(docs, most_pairs=0, shortcut=x).collect())) for x in (False, True))
     assert whole == short
+
+
+def test_a_group_of_near_copies_costs_its_nodes(monkeypatch, spark):
+    from quire.llm import jaccard_join
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        words[rng.randrange(150)] = f"own{k}"
+        rows.append((5 * k + 2, " ".join(words)))
+    # Between the group and the last row, which links with the one before it only.
+    rows += [(1_000, " ".join(base[:112])), (1_001, " ".join(base[:95]))]
+    tried, verified = [], jaccard_join.verified
+
+    def counting(pairs, sets, threshold):
+        pairs = jaccard_join.cut(pairs)
+        tried.append(pairs.count())
+        return verified(pairs, sets, threshold)
+
+    monkeypatch.setattr(jaccard_join, "verified", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).collect()}
+    assert found == brute_components(rows)
+    assert sum(tried) <= 62 * (jaccard_join.LEAST_HASHES + 2)  # before: 1,830 pairs
