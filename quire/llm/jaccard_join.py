@@ -52,7 +52,7 @@ COMBINATION = 2
 # With the shortcut, a shingle is frequent when its index group holds more pairs from
 # different components.
 MOST_PAIRS = 50
-# For the links, a shingle is frequent when more nodes have it in their prefixes.
+# For the links, a shingle is frequent when more nodes have it.
 MOST_NODES = 200
 # Rounds in which nodes of dense groups are tried against some nodes of the largest
 # component, before all that is left is tried; they change the work, not the links.
@@ -60,6 +60,8 @@ ROUNDS, TRIES = 2, 8
 SEED = np.uint64(0x9E3779B97F4A7C15)
 # Least hashes of a set by which near copies find the head of their class.
 LEAST_HASHES = 4
+# Hashes below are the lower half of a set, in whose order prefixes are taken.
+HALF = np.uint64(1 << 63)
 
 
 def prefix_length(size: int, threshold: int = THRESHOLD, k: int = COMBINATION) -> int:
@@ -165,6 +167,32 @@ def keyed_sets(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataFra
     return docs.mapInArrow(run, "doc_id long, n int, keys array<long>, places array<int>")
 
 
+def halves_of_sets(docs: DataFrame, threshold: int, first: np.ndarray | None = None) -> DataFrame:
+    """``doc_id, keys`` of each document: the lower half of its shingles, that of hashes below HALF.
+
+    With the frequent class ``first`` of the lower half, it is the upper half, and only of
+    documents whose prefixes reach into it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+
+    def reaches(lower: np.ndarray, length: int) -> bool:
+        place = np.minimum(np.searchsorted(shared.value, lower), len(shared.value) - 1)
+        rare = int((shared.value[place] != lower).sum()) if len(shared.value) else len(lower)
+        return rare < length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows, keys = [], []
+            for row, hashes in enumerate(shingle_sets(texts_of(batch.column(1)), WIDTH)):
+                cut_at = int(np.searchsorted(hashes, HALF))
+                if shared.value is None or reaches(hashes[:cut_at], prefix_length(len(hashes), threshold)):
+                    rows.append(row)
+                    keys.append(hashes[:cut_at] if shared.value is None else hashes[cut_at:])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), _lists(keys)], ["doc_id", "keys"])
+
+    return docs.mapInArrow(run, "doc_id long, keys array<long>")
+
+
 def bitmap(hashes: np.ndarray) -> bytes:
     """A bit for each shingle's hash, in at least four times as many bits as there are shingles."""
     size = 1 << max(6, int(4 * len(hashes) - 1).bit_length())
@@ -212,7 +240,8 @@ def in_cells(pairs: DataFrame, placed: DataFrame, values: DataFrame, columns: li
     The rows of role 0 are the cell's documents (as ``a``), those of role 1 its pairs.
     """
     side = lambda c, x: broadcast_if_small(placed.select(F.col("doc_id").alias(c), F.col("block").alias(x)))
-    dealt = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y", "a", "b")
+    # Written, as the cells' members, their measuring and the pairs themselves read it.
+    dealt = stored(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y", "a", "b"))
     members = dealt.select("x", "y", F.col("a").alias("doc_id")).unionByName(dealt.select("x", "y", F.col("b").alias("doc_id"))).distinct()
     held = values.join(broadcast_if_small(members), "doc_id")
     held = held.select("x", "y", F.lit(0).alias("role"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), *columns)
@@ -353,12 +382,30 @@ def head_links(sets: Sets, threshold: int) -> DataFrame:
     return stored(verified(pairs, sets, threshold).select("a", "b"))
 
 
+def frequent_class(sets: Sets, threshold: int, most_nodes: int) -> np.ndarray:
+    """Shingles that more than ``most_nodes`` nodes have, as far as they can come into a prefix.
+
+    Prefixes alone do not tell: frequent shingles leave them and others move up, those of
+    the same passage as a rule.  A prefix is about the lowest quarter of a set, so the
+    lower half is counted for all nodes, and the upper half for those whose prefixes
+    reach into it without the lower half's frequent shingles.  The second class changes no
+    other prefix, so no shingle is a single key of more than ``most_nodes`` nodes.
+    """
+
+    def often(halves: DataFrame) -> DataFrame:
+        # Only the counts of the keys that many nodes have leave the pass.
+        halves = halves.filter("doc_id IS NOT NULL").join(sets.others, "doc_id", "left_anti").select(F.explode("keys").alias("key"))
+        return cut(halves.groupBy("key").agg(F.count("*").alias("nodes")).filter(F.col("nodes") > most_nodes).select(F.col("key").alias("token")))
+
+    lower = often(halves_of_sets(sets.source, threshold))
+    upper = often(halves_of_sets(sets.source, threshold, held_tokens(lower)))
+    return held_tokens(lower.unionByName(upper))
+
+
 def all_links(sets: Sets, threshold: int, most_nodes: int = MOST_NODES, classes: DataFrame | None = None) -> DataFrame:
     """``a, b, shared, n_a, n_b`` of all links between nodes, a < b; with ``classes`` of those between different classes."""
 
-    # Only the counts of the keys that many nodes have leave the first pass.
-    counts = sets.keyed(np.empty(0, np.uint64), threshold).groupBy("key").agg(F.count("*").alias("nodes"))
-    frequent = held_tokens(cut(counts.filter(F.col("nodes") > most_nodes).select(F.col("key").alias("token"))))
+    frequent = frequent_class(sets, threshold, most_nodes)
     # Both sides of the join are one shuffle of the index; keys of one node end there.
     index = sets.keyed(frequent, threshold, classes)
     left, right = (

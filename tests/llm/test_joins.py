@@ -77,6 +77,27 @@ def test_links_of_a_large_group(spark):
     assert 1_000 < len(expected) < 600 * 599 // 2
 
 
+def test_a_shared_passage_makes_no_group_of_all_its_documents(monkeypatch, spark):
+    """120 texts of 60 words of their own and one passage; only two of them are near copies."""
+    from quire.llm import jaccard_join
+
+    rng = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(80))
+    rows = [(k, " ".join(f"x{rng.randrange(10**9)}" for _ in range(60)) + " " + passage) for k in range(120)]
+    rows.append((120, rows[7][1].replace("p40", "other")))
+    tried = []
+
+    def counted(pairs, *more):
+        tried.append(pairs.count())
+        return verified(pairs, *more)
+
+    verified = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    links = jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"), most_nodes=20).collect()
+    assert [(r["a"], r["b"]) for r in links] == [(7, 120)]
+    assert sum(tried) <= 120
+
+
 def test_linked_sets_share_an_index_key():
     import numpy as np
 
