@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give back what Arrow holds without need; a worker keeps its memory while it waits beside others."""
+    pa.default_memory_pool().release_unused()
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of ``uri`` and the path in it."""
     return pafs.FileSystem.from_uri(uri)

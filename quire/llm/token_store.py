@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.registry import query, table
-from quire.llm.shared import new_folder, write_file
+from quire.llm.shared import new_folder, release, write_file
 
 MAGIC = b"QIDS1\0\0\0"
 ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("ids", "<u4"), ("null", "<u4")])
@@ -49,7 +49,7 @@ LEVEL = 3
 FILE_BYTES = 8 << 20  # a file is closed beyond this
 BUCKET_TEXT_BYTES = 64 << 20
 PIECES_HELD = 150_000  # encoded pieces that a worker remembers, in each of two generations
-ROWS_AT_ONCE = 1_000
+ROWS_AT_ONCE = 300
 TEXT_AT_ONCE = 4 << 20  # characters; a longer text is alone
 # White space before which a text cannot be cut at a space without changing its pieces.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
@@ -230,6 +230,7 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]
         reach = np.cumsum(sizes[first : first + ROWS_AT_ONCE])
         n = max(1, int(np.searchsorted(reach, TEXT_AT_ONCE)))
         yield first, batch.column(column).slice(first, n).to_pylist()
+        release()
         first += n
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from quire.llm.shared import LOCAL_BATCH_BYTES
+from quire.llm.shared import LOCAL_BATCH_BYTES, release
 
 SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
 _SPACE = np.zeros(256, bool)
@@ -158,6 +158,8 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, ROWS_AT_ONCE):
             yield batch.slice(k, ROWS_AT_ONCE)
+        del batch
+        release()
 
 
 def texts_of(column) -> list[bytes]:

@@ -191,3 +191,17 @@ def test_remembered_pieces_of_two_workers_take_little_memory():
 
     # Two generations, two workers of an executor, some 220 bytes a piece: 132 MB (before: 352 MB).
     assert 2 * 2 * token_store.PIECES_HELD * 220 <= 150_000_000
+
+
+def test_few_texts_at_once_and_memory_given_back(monkeypatch):
+    import pyarrow as pa
+
+    from quire.llm import token_store
+
+    given = []
+    monkeypatch.setattr(token_store, "release", lambda: given.append(1), raising=False)
+    texts = [f"text {k}" for k in range(2_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2_000)), pa.array(texts)], ["doc_id", "text"])
+    found = list(token_store._slices(batch, 1))
+    assert [t for _, part in found for t in part] == texts
+    assert max(len(part) for _, part in found) <= 300 and len(given) == len(found)
