@@ -51,7 +51,7 @@ def read_arrays(uri: str) -> tuple[dict, dict[str, np.ndarray]]:
                 source.write(block)
         source.flush()
     with source:
-        view = mmap.mmap(source.fileno(), os.fstat(source.fileno()).st_size, access=mmap.ACCESS_READ)
+        view = mmap.mmap(source.fileno(), os.fstat(source.fileno()).st_size, access=mmap.ACCESS_READ, trackfd=False)
     if view[:8] != MAGIC:
         raise ValueError(f"{uri} is no file of arrays")
     (size,) = struct.unpack_from("<I", view, 8)

@@ -133,3 +133,19 @@ def test_large_counts_beside_their_bytes():
     level.before, level.parts = np.array([0, 2]), [(None, ngram_trie._counts(c[k], "pairs")) for k in (slice(2), slice(2, 6))]
     places = np.array([5, 0, 4, 2, 2, 1, 3])
     assert level.values(places, "counts").tolist() == c[places].tolist()
+
+
+@pytest.mark.parametrize(("keys", "block"), [(2_000_000, 1_500_000), (60, 1_500_000), (500, 700)])
+def test_whole_model_keeps_exact_counts_over_files_and_blocks(spark, docs, texts, keys, block, monkeypatch):
+    """Probabilities follow from counts, whatever the ranges, and lists and pairs that files share count once."""
+    monkeypatch.setattr(ngram_trie, "FILE_KEYS", keys)
+    monkeypatch.setattr(ngram_trie, "BLOCK_TOKENS", block, raising=False)
+    same = spark.createDataFrame([(10**6 + k, "p q " + "p q r " * 200) for k in range(20)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(same)
+    found = {r["doc_id"]: r["score"] for r in ngram_trie.score_texts(rows, new_folder(spark, "trie-test"), least=1).collect()}
+    words = {7 * k + 3: [*(t or "").encode().lower().split(), None] for k, t in enumerate(texts)}
+    words |= {10**6 + k: [*("p q " + "p q r " * 200).encode().split(), None] for k in range(20)}
+    p = whole_model([w for i, w in words.items() if zlib.crc32(str(i).encode()) % 5 != 1])
+    for i, w in words.items():
+        exact = sum(math.log10(p(x, w[k - 1] if k else None, w[k - 2] if k > 1 else None)) for k, x in enumerate(w))
+        assert found[i] == pytest.approx(exact, rel=1e-9), i
