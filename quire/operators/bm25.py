@@ -100,6 +100,19 @@ def term_bucket(term: Column) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(INDEX_BUCKETS)).cast("int")
 
 
+# Rows that a task of a search holds at a time; it took 433 MB for them (200 queries).
+TASK_ROWS = 2_000_000
+MAX_PARTITIONS = 50_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, least: int = 1) -> DataFrame:
+    """``df`` hashed by ``keys``, into partitions of about TASK_ROWS of the reckoned ``rows`` at most."""
+    parts = min(-(-rows // TASK_ROWS), MAX_PARTITIONS)
+    if parts <= df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(*keys)
+    return df.repartition(max(parts, least), *keys)
+
+
 def write_index(index: Bm25Index, path: str, version: str = "") -> None:
     """Write the index as parquet tables, postings in folders by a hash of the term.
 
@@ -108,14 +121,20 @@ def write_index(index: Bm25Index, path: str, version: str = "") -> None:
     takes the chunk: a term in every chunk is spread over the files of its folder.
     ``version`` names the chunks that the index is of.
     """
-    postings = index.occurrences.filter("term IS NOT NULL").groupBy("term", "chunk_id", "length").agg(F.sum("tf").alias("tf"))
-    postings = postings.withColumn("bucket", term_bucket(F.col("term")))
-    postings.sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
     settings = index.totals.withColumns(
         {"analyzer": F.lit(index.analyzer), "k1": F.lit(index.k1), "b": F.lit(index.b), "version": F.lit(version)}
     )
-    settings.write.mode("overwrite").parquet(f"{path}/totals")
+    totals = settings.first()
+    # Rows move before they are counted: a table of counts for all texts of a reading task would not fit its memory.
+    # Each task writes a file in each folder, so there are no more of them than rows ask for.
+    hits = index.occurrences.filter("term IS NOT NULL")
+    hits = dealt(hits, round(totals["chunks"] * (totals["avg_length"] or 0)), "term", "chunk_id")
+    postings = hits.groupBy("term", "chunk_id", "length").agg(F.sum("tf").alias("tf"))
+    postings = postings.withColumn("bucket", term_bucket(F.col("term")))
+    postings.sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    # Last, as it names the version.
+    settings.sparkSession.createDataFrame([totals], settings.schema).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def read_index(spark: SparkSession, path: str, version: str | None = None) -> Bm25Index:
@@ -153,11 +172,8 @@ def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
     return terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-# Rows that a task of a search holds at a time; it took 433 MB for them (200 queries).
-TASK_ROWS = 2_000_000
 # Different terms of the queries that a chunk is taken to hold when its rows are reckoned.
 CHUNK_TERMS = 256
-MAX_PARTITIONS = 50_000
 
 
 def by_chunk(index: Bm25Index, terms: DataFrame, hits: DataFrame) -> DataFrame:
@@ -167,15 +183,11 @@ def by_chunk(index: Bm25Index, terms: DataFrame, hits: DataFrame) -> DataFrame:
     move tell nothing of this, so adaptive execution would make as many tasks as there are
     cores, whatever the number of chunks.
     """
-    spark = hits.sparkSession
     size = index.totals if index.size is None else index.size
     chunks = size.select("chunks").first()["chunks"]
     asked = terms.agg(F.count_distinct("query_id").alias("queries"), F.count_distinct("term").alias("terms")).first()
-    rows = chunks * (asked["queries"] + min(asked["terms"], CHUNK_TERMS))
-    parts = min(-(-rows // TASK_ROWS), MAX_PARTITIONS)
-    if parts <= spark.sparkContext.defaultParallelism:
-        return hits.repartition("chunk_id")
-    return hits.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk_id")
+    least = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt(hits, chunks * (asked["queries"] + min(asked["terms"], CHUNK_TERMS)), "chunk_id", least=least)
 
 
 def score(index: Bm25Index, queries: DataFrame) -> DataFrame:

@@ -239,3 +239,19 @@ def test_tasks_of_a_search_grow_in_number_with_chunks_and_queries(spark, monkeyp
     monkeypatch.setattr(bm25, "TASK_ROWS", 100)
     number, scored = planned(300, 5)
     assert number == 21 and {tuple(r) for r in scored.collect()} == few
+
+
+def test_tasks_of_an_index_write_grow_in_number_with_the_tokens(spark, monkeypatch, tmp_path):
+    texts = spark.range(1500).select(F.col("id").alias("chunk_id"), F.concat(F.lit("word more w"), F.col("id") % 7).alias("chunk_text"))
+
+    def written(path):
+        bm25.write_index(bm25.build_index(texts), path)
+        index = bm25.read_index(spark, path)
+        tasks = {name.name.split("-")[1] for name in tmp_path.rglob(f"{path.rsplit('/', 1)[1]}/postings/*/part-*")}
+        return len(tasks), *({tuple(r) for r in x.collect()} for x in (index.occurrences, index.vocabulary, index.totals))
+
+    few = written(f"{tmp_path}/few")
+    monkeypatch.setattr(bm25, "TASK_ROWS", 100)
+    many = written(f"{tmp_path}/many")
+    assert many[1:] == few[1:]
+    assert few[0] <= spark.sparkContext.defaultParallelism and many[0] >= 30  # 4,500 rows; before: as many tasks in both
